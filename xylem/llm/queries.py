@@ -28,6 +28,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, vocabulary("word_bpe_49k.json"), ids=False, digests=True, keep=["doc_id"])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz import substring_dedup
+
+    out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), factors=False, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -51,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op8_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op8_token_files, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
