@@ -42,6 +42,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree import exact_topk
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import read_token_files, shared_path, write_token_files
 
@@ -58,8 +65,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op8_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op8_token_files, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_SQL = {
+    "op2_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), t AS (
+  SELECT doc_id, ws, len(ws) AS n, unnest(range(1, greatest(len(ws) - 12, 0) + 1)) AS p FROM w
+), g AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS g FROM t
+), f AS (
+  SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM g JOIN f USING (g) WHERE first < doc_id
+), c AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ws[i]), ' ')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)
+""",
+    "op4_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
