@@ -49,6 +49,16 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    weights, bias = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, weights, bias, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import read_token_files, shared_path, write_token_files
 
@@ -57,6 +67,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .quality import fit_quality, score_quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    table, bias = fit_quality(docs, read(spark, sf_dir, "labels"))
+    out = score_quality(docs, table, bias, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -65,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op8_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op6_toxicity, op8_token_files, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
