@@ -59,6 +59,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import read_token_files, shared_path, write_token_files
 
@@ -85,7 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op6_toxicity, op8_token_files, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op6_toxicity, op7_decontaminate, op8_token_files, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
