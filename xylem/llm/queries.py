@@ -49,6 +49,13 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, pages_to_responses
+
+    out = derivatives(pages_to_responses(read(spark, sf_dir, "pages")))
+    return out.withColumnRenamed("key", "page_id").drop("error")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .labelled import held_out
     from .toxicity import fit_toxicity, score_toxicity
@@ -90,8 +97,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op6_toxicity, op7_decontaminate, op8_token_files, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_token_counts, op4_exact_topk, op5_warc, op6_toxicity, op7_decontaminate, op8_token_files, op9_quality, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
