@@ -30,16 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import block_count, row_slices, string_buffers
-from .vocab import Memory, ship
+from .common import block_count, row_slices, span_hashes, string_buffers, word_bounds
+from .vocab import ship
 
 MAGIC, VERSION = b"XYRP", 1
 #: Ids gathered before a shard is closed (a longer document is still kept whole).
 SHARD_IDS = 2 << 20
 #: Rounds of pair replacement, rules added by one round, and uses that pay for a rule.
-ROUNDS, ROUND_RULES, LEAST_USES = 6, 4096, 8
+ROUNDS, ROUND_RULES, LEAST_USES = 3, 8064, 8
 #: A control character: a piece, and a token, of its own.
 _APART = "\x01"
+#: Distinct chunks remembered by a worker: about 60 bytes each.
+_CHUNKS = 3_000_000
 _HEADER = struct.Struct("<4sI6q")  # 56 bytes
 
 
@@ -49,45 +51,49 @@ def grammar(ids: np.ndarray, base: int, end: int, rounds: int = ROUNDS, per_roun
     Each round replaces the most frequent pairs together.  Where pairs overlap, the
     left one goes first.
     """
-    room = (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
     narrow = base < 1 << 16
-    kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    room = (1 << 16) - 1 - base if narrow else (1 << 31) - base
+    kind, shift, none = (np.uint32, np.uint32(16), np.uint32(0xFFFFFFFF)) if narrow else (np.uint64, np.uint64(32), np.uint64((1 << 64) - 1))
     seq = ids.astype(kind)
     rules = []
     made = 0
     for _ in range(rounds):
-        if len(seq) < 2 or made >= room:
-            break
-        key = (seq[:-1] << shift) | seq[1:]
-        stop = seq == kind(end)
-        valid = ~(stop[:-1] | stop[1:])
-        k = np.sort(key[valid])
-        if not len(k):
-            break
-        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        uses = np.diff(np.r_[at, len(k)])
-        good = np.flatnonzero(uses >= least)
         take = min(per_round, room - made)
+        if len(seq) < 2 or take <= 0:
+            break
+        key = seq[:-1] << shift
+        key |= seq[1:]
+        stop = np.flatnonzero(seq == kind(end))
+        key[stop[stop < len(key)]] = none
+        key[stop[stop > 0] - 1] = none
+        k = np.sort(key)
+        at = np.flatnonzero(k[1:] != k[:-1]) + 1
+        at = np.concatenate([[0], at])
+        uses = np.diff(np.append(at, len(k)))
+        good = np.flatnonzero((uses >= least) & (k[at] != none))
         if len(good) > take:
             good = good[np.argpartition(-uses[good], take - 1)[:take]]
         if not len(good):
             break
-        chosen = np.sort(k[at[good]])
+        # a direct-address table of the chosen pairs; of two in one slot, one waits
         if narrow:
-            spot = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(12)
+            spot = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(14)
         else:
-            spot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        sieve = np.zeros(1 << 20, bool)
-        sieve[spot(chosen)] = True
-        hit = np.flatnonzero(sieve[spot(key)] & valid)
-        rule = np.minimum(np.searchsorted(chosen, key[hit]), len(chosen) - 1)
-        real = chosen[rule] == key[hit]
-        hit, rule = hit[real], rule[real]
-        run = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
-        nth = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
-        even = nth % 2 == 0
-        hit, rule = hit[even], rule[even]
-        seq[hit] = (rule + (base + made)).astype(kind)
+            spot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+        chosen = k[at[good]]
+        table = np.full(1 << 18, -1, np.int32)
+        table[spot(chosen)] = np.arange(len(chosen))
+        chosen = chosen[np.sort(table[table >= 0])]
+        table[:] = 0
+        table[spot(chosen)] = np.arange(len(chosen))
+        rule = table[spot(key)]
+        hit = np.flatnonzero(chosen[rule] == key)
+        # of overlapping pairs every second one of a run is replaced
+        run = np.flatnonzero(hit[1:] != hit[:-1] + 1) + 1
+        run = np.concatenate([[0], run])
+        nth = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
+        hit = hit[(nth & 1) == 0]
+        seq[hit] = (rule[hit] + (base + made)).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
@@ -200,50 +206,134 @@ class Shard:
         return expand(self.body[at : at + int(self.symbols[i])], self.rules, self.length, self.base)
 
 
+class Slots:
+    """Open-addressing table from 64-bit keys to slot numbers, by whole arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.shift = bits, np.uint64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it is not there.  Keys are odd, so never zero."""
+        at = (h >> self.shift).astype(np.int32)
+        got = self.keys[at]
+        out = np.where(got == h, at, np.int32(-1))
+        todo = np.flatnonzero((got != h) & (got != 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            got, key = self.keys[at], h[todo]
+            hit = got == key
+            out[todo[hit]] = at[hit]
+            on = ~hit & (got != 0)
+            todo, at = todo[on], at[on]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Slots for keys that are distinct and not there yet."""
+        at = (h >> self.shift).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            spot = at[todo]
+            free = self.keys[spot] == 0
+            self.keys[spot[free]] = h[todo[free]]  # of several, the last one stays
+            on = self.keys[spot] != h[todo]
+            todo = todo[on]
+            at[todo] = (at[todo] + 1) & self.mask
+        return at
+
+
 class LibraryCodec:
     """Whole texts by the tokenizers library, each distinct chunk encoded about once.
 
     The vocabulary's pattern drops white space and no piece crosses it, so a text's
-    ids are those of its chunks in order.
+    ids are those of its chunks (runs of bytes between ASCII white space) in order;
+    white space beyond ASCII stays inside a chunk and is left to the library.  Chunks
+    are looked up by a 64-bit hash, a slice of documents at a time.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, chunks: int = _CHUNKS):
         from tokenizers import Tokenizer
 
-        from .bpe import _ODD_SPACE, _SOLID
-
         self.t = Tokenizer.from_str(data.decode())
         self.t.no_truncation()
         self.t.no_padding()
-        self.odd, self.solid = _ODD_SPACE, _SOLID
         self.size = self.t.get_vocab_size(with_added_tokens=True)
-        self.memo = Memory()
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks: many per call, set apart by a piece of their own."""
-        mark = self.t.encode(_APART, add_special_tokens=False).ids
-        plain = [w for w in new if _APART not in w]
-        out = {w: np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new if _APART in w}
+        self.mark = self.t.encode(_APART, add_special_tokens=False).ids[0]
+        self.limit, self.bits = chunks, (2 * chunks).bit_length()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = Slots(self.bits)
+        self.start = np.zeros(1 << self.bits, np.int32)
+        self.count = np.zeros(1 << self.bits, np.int32)
+        self.pool = np.zeros(1 << 20, self.kind)
+        self.used = self.known = 0
+
+    def ask(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, number of each): many a call, set apart by a piece of their own."""
+        odd = {i: self.t.encode(w, add_special_tokens=False).ids for i, w in enumerate(new) if _APART in w}
+        plain = [i for i in range(len(new)) if i not in odd]
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        got = self.t.encode_batch_fast([f" {_APART} ".join(g) for g in groups], add_special_tokens=False)
+        got = self.t.encode_batch_fast([f" {_APART} ".join([new[i] for i in g]) for g in groups], add_special_tokens=False)
+        count = np.zeros(len(new), np.int64)
+        parts = []
         for group, enc in zip(groups, got, strict=True):
-            ids = np.array(enc.ids, "<u4")
-            cut = np.flatnonzero(ids == mark[0])
-            raw = ids.tobytes()
-            out.update(zip(group, [raw[a:b] for a, b in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True)], strict=True))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(self.solid.findall(t) if self.odd.search(t) else t.split()) if t else [] for t in texts]
-        memo = self.memo
-        memo.room()
-        new: set[str] = set()
-        for s in split:
-            new.update([w for w in s if w not in memo])
-        if new:
-            memo.update(self.learn(list(new)))
-        get = memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            ids = np.array(enc.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            count[group] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+            parts.append(ids[ids != self.mark])
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        if odd:
+            at = np.cumsum(count)
+            rows = np.split(flat, at[:-1])
+            for i, ids in odd.items():
+                rows[i], count[i] = np.array(ids, np.uint32), len(ids)
+            flat = np.concatenate(rows)
+        return flat, count
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        flat, count = self.ask(words)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), self.kind)])
+        at = self.slots.add(h)
+        self.start[at] = self.used + np.cumsum(count) - count
+        self.count[at] = count
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known += len(h)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of each row) of texts given by their UTF-8 bytes."""
+        if self.known > self.limit // 2:
+            self.clear()
+        starts, ends, first = word_bounds(raw, offsets)
+        h = span_hashes(raw, starts, ends) | np.uint64(1)
+        at = self.slots.find(h)
+        gap = np.flatnonzero(at < 0)
+        if len(gap):
+            new, where = np.unique(h[gap], return_index=True)
+            spot = gap[where]
+            text = raw.tobytes()
+            # more new chunks than fit: in the end all are known, whatever the limit
+            if self.known + len(new) > self.limit:
+                self.clear()
+                new, where = np.unique(h, return_index=True)
+                spot = where
+                if len(new) > self.limit:
+                    self.bits = (2 * len(new)).bit_length()
+                    self.clear()
+            self.learn(new, [text[a:b].decode() for a, b in zip(starts[spot].tolist(), ends[spot].tolist(), strict=True)])
+            at = self.slots.find(h)
+        n = self.count[at]
+        stop = np.cumsum(n, dtype=np.int64)
+        total = int(stop[-1]) if len(stop) else 0
+        # each chunk's place in the pool, counted on from where its ids go
+        lag = self.start[at] - (stop - n)
+        ids = self.pool[np.repeat(lag, n) + np.arange(total)]
+        return ids, np.diff(np.concatenate([[0], stop])[first])
 
 
 @lru_cache(maxsize=2)
@@ -267,32 +357,33 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, doc_id: str = "
     n = block_count(df, 8 << 20, least=4)
     data = ship(spark, vocab_path)
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    mark = np.array([end], "<u4").tobytes()
 
     def run(batches):
         c = library(data.value)
         part = TaskContext.get().partitionId()
         before = held = 0
         docs: list = []
-        blobs: list[bytes] = []
+        pieces: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def close():
-            nonlocal before, held, docs, blobs
-            tokens = np.array([len(b) // 4 for b in blobs], np.int64)
-            blob = pack(docs, tokens, np.frombuffer(b"".join(blobs), "<u4"), c.size, end)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([int(tokens.sum())], pa.int64()), pa.array([blob], pa.binary())], names=["part", "before", "n_ids", "payload"])
-            before += int(tokens.sum())
-            held, docs, blobs = 0, [], []
+            nonlocal before, held, docs, pieces, sizes
+            tokens = np.concatenate(sizes)
+            blob = pack(docs, tokens, np.concatenate(pieces), c.size, end)
+            total = int(tokens.sum())
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], names=["part", "before", "n_ids", "payload"])
+            before += total
+            held, docs, pieces, sizes = 0, [], [], []
             return out
 
         for batch in batches:
-            _, offsets = string_buffers(batch.column("text"))
+            raw, offsets = string_buffers(batch.column("text"))
             for i, j in row_slices(offsets):
-                cut = batch.slice(i, j - i)
-                got = [b + mark for b in c.encode(cut.column("text").to_pylist())]
-                docs += cut.column("doc_id").to_pylist()
-                blobs += got
-                held += sum(map(len, got)) // 4
+                ids, count = c.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                docs += batch.column("doc_id").slice(i, j - i).to_pylist()
+                pieces.append(np.insert(ids, np.cumsum(count), end))
+                sizes.append(count + 1)
+                held += len(pieces[-1])
                 if held >= shard_ids:
                     yield close()
         if docs:
