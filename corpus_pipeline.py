@@ -16,7 +16,7 @@ from xylem.llm.decontaminate import drop_leaks
 from xylem.llm.queries import vocabulary
 from xylem.llm.repair import shared_path
 from xylem.llm.rlz import substring_dedup
-from xylem.llm.simhash import near_duplicates
+from xylem.llm.simhash import similar_documents
 from xylem.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents of this score or more are rejected as toxic.
@@ -31,8 +31,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate component; null ids stay."""
-    found = near_duplicates(docs)
+    """The document of the least id of each near-duplicate component; null ids stay.
+
+    Five-word shingles, a similarity of 0.8 or more.
+    """
+    found = similar_documents(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
