@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from .common import block_count, bucket_of, ready, row_slices, span_hashes, string_buffers, window_hashes, within, word_bounds
 
 WINDOW = 13
-#: Reference blocks: a power of two, at most 256, given by the top bits of a hash.
-LEAST_BLOCKS, MOST_BLOCKS = 64, 256
+#: Reference blocks are given by the top bits of a hash: at least and at most so many bits.
+LEAST_BITS, MOST_BITS = 6, 16
+#: Work blocks for each reference block; both keep their size as the input grows.
+WORK_PER_REFERENCE = 4
 
 
 def _width(a: np.ndarray) -> np.dtype:
@@ -101,8 +103,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     A null text has no words and an empty ``kept_text``; shorter texts than a window
     stay whole.  Rows with a null id keep all words and are no source.  Rows of the same
     id are one document for this purpose: they cut nothing from each other.  An input
-    column named like a result gives way.  Equal 64-bit window hashes count as equal
-    windows (of 1.4e8 windows, a wrong cut has a chance of about 1 in 2000).
+    column named like a result gives way.  Equal window hashes of 62 bits or more count as
+    equal windows (among 1.4e8 windows, a wrong cut has a chance of about 1 in 500).
     """
     names = ["kept_text", "n_words", "n_removed"] + ["factors"] * factors
     kept = [c for c in within(df, names) if keep is None or c in keep]
@@ -111,8 +113,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         fields.append(T.StructField("factors", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "source_id", "source_start")]))))
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     n_work = block_count(df)
-    n_ref = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (n_work - 1).bit_length()))
-    shift = np.uint64(64 - (n_ref.bit_length() - 1))
+    bits = min(MOST_BITS, max(LEAST_BITS, (n_work // WORK_PER_REFERENCE).bit_length()))
+    n_ref, shift = 1 << bits, np.uint64(64 - bits)
 
     ident = df[doc_id].cast("long")
     work = ready(df).select(ident.alias("__id"), F.coalesce(df[text], F.lit("")).alias("__text"), bucket_of(F.coalesce(ident, F.xxhash64(df[text])), n_work).alias("__work"), *[df[c].alias(f"__c{i}") for i, c in enumerate(kept)])
@@ -139,40 +141,41 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 continue
             r = row[at]
             edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            # rows that have windows here, how many, and the windows' numbers
+            # of rows that have windows here: ids, numbers of windows, places in the work block;
+            # of each window: how far behind the row's last one it starts
             ds = doc[r[edge]] - least
-            head = struct.pack("<q", least) + _put(np.diff(np.r_[0, ds]) if (np.diff(ds) >= 0).all() else ds, np.diff(np.r_[edge, len(r)]), np.diff(np.r_[0, r[edge]]), np.diff(np.r_[0, at]))
-            low = hashes[at]
-            # the top byte is known to the block where there are 256; else it goes along
-            raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-            body = raw[:, :7].tobytes() if n_ref == 256 else raw.tobytes()
+            place = at - w.base[r]
+            step = place.copy()
+            step[1:] -= place[:-1]
+            step[edge] = place[edge]
+            head = struct.pack("<q", least) + _put(np.diff(np.r_[0, ds]), np.diff(np.r_[edge, len(r)]), np.diff(np.r_[0, r[edge]]), step)
+            # a block's hashes share their top bits: the lower seven bytes are sent
+            body = hashes[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
             out.append(struct.pack("<I", len(head)) + head + body)
         rows = [(b, x) for b, x in enumerate(out) if x is not None]
         return pa.table({"ref": pa.array([b for b, _ in rows], pa.int32()), "work": pa.array([block] * len(rows), pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     def index(table: pa.Table) -> pa.Table:
         """First place of each window hash of a reference block; answers for the others."""
-        top = np.uint64(table.column("ref")[0].as_py())
-        works, hashes, docs, places = [], [], [], []
+        works, hashes, docs, owners, places = [], [], [], [], []
         for work_no, blob in zip(table.column("work").to_pylist(), table.column("blob").to_pylist(), strict=True):
             (size,) = struct.unpack_from("<I", blob)
             (least,) = struct.unpack_from("<q", blob, 4)
-            d, counts, _, at = _get(blob[12 : 4 + size], 4)
-            at = np.cumsum(at)
+            d, counts, rows, step = _get(blob[12 : 4 + size], 4)
+            at = np.cumsum(step)
+            edge = np.cumsum(counts) - counts
+            at -= np.repeat(at[edge] - step[edge], counts)
             raw = np.frombuffer(blob, np.uint8, -1, 4 + size)
-            if n_ref == 256:
-                wide = np.zeros((len(at), 8), np.uint8)
-                wide[:, :7] = raw.reshape(-1, 7)
-                wide[:, 7] = top
-                h = wide.view("<u8").ravel()
-            else:
-                h = np.frombuffer(raw.tobytes(), "<u8")
+            wide = np.zeros((len(at), 8), np.uint8)
+            wide[:, :7] = raw.reshape(-1, 7)
+            h = wide.view("<u8").ravel()
             works.append(np.full(len(at), work_no, np.int32))
             hashes.append(h)
             docs.append(np.repeat(np.cumsum(d) + least, counts))
+            owners.append(np.repeat(np.cumsum(rows), counts))
             places.append(at)
-        h, d, at, wk = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places), np.concatenate(works)
-        del hashes, docs, places, works
+        h, d, own, at, wk = (np.concatenate(x) for x in (hashes, docs, owners, places, works))
+        del hashes, docs, owners, places, works
         order = np.argsort(h, kind="stable")
         hs = h[order]
         edge = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
@@ -183,29 +186,29 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             return pa.table({"work": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         edge = np.cumsum(sizes) - sizes
         group = np.repeat(np.arange(len(sizes)), sizes)
-        # the first place: least id, then least work block and number (its own block alone holds an id)
+        # the first place: least id, then the earliest word
         near = order[np.lexsort((at[order], d[order], group))]
         first = np.repeat(near[edge], sizes)
         hit = d[near] > d[first]
         near, first = near[hit], first[hit]
-        by = np.lexsort((at[near], wk[near]))
+        by = np.lexsort((at[near], own[near], wk[near]))
         near, first = near[by], first[by]
         edge = np.flatnonzero(np.r_[True, wk[near][1:] != wk[near][:-1]]) if len(near) else np.zeros(0, np.int64)
         rows = []
         for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(near)], strict=False):
             mine, src = near[i:j], first[i:j]
             low = int(d[src].min())
-            rows.append((int(wk[mine[0]]), struct.pack("<q", low) + _put(np.diff(np.r_[0, at[mine]]), d[src] - low, at[src])))
+            rows.append((int(wk[mine[0]]), struct.pack("<q", low) + _put(np.diff(np.r_[0, own[mine]]), at[mine], d[src] - low, at[src])))
         return pa.table({"work": pa.array([r for r, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
     def parse(table: pa.Table, replies: pa.Table) -> pa.Table:
         table = _ordered(table)
         w = Windows(table.column("__text"), window)
-        found = [(_get(b[8:], 3), struct.unpack_from("<q", b)[0]) for b in replies.column("blob").to_pylist()]
+        found = [(_get(b[8:], 4), struct.unpack_from("<q", b)[0]) for b in replies.column("blob").to_pylist()]
         source = np.zeros(len(w.hashes), np.int64)
         place = np.full(len(w.hashes), -1, np.int64)
-        for (at, d, p), low in found:
-            at = np.cumsum(at)
+        for (row, at, d, p), low in found:
+            at = w.base[np.cumsum(row)] + at
             source[at], place[at] = d + low, p
         hit = np.flatnonzero(place >= 0)
         word0 = np.cumsum(w.words) - w.words
