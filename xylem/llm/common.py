@@ -21,6 +21,8 @@ from ..session import ship_package
 SLICE_BYTES = 1 << 20
 #: Compressed input bytes aimed at for one work block.
 BLOCK_BYTES = 4 << 20
+#: An estimate of so many bytes or more is none (a petabyte).
+UNKNOWN_BYTES = 1 << 50
 
 #: Separators of the word pattern ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, dtype=bool)
@@ -54,8 +56,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = 8, most: int = 1 << 20) -> int:
-    """Number of work blocks, from Catalyst's size estimate (file sizes for a scan)."""
+    """Number of work blocks, from Catalyst's size estimate (file sizes for a scan).
+
+    Where the plan has no estimate, the texts are measured: about half their bytes count.
+    """
     est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if est >= UNKNOWN_BYTES:
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        est = (df.agg(F.sum(sum(texts, F.lit(8)).cast("long"))).first()[0] or 0) // 2
     return int(min(most, max(least, -(-est // block_bytes))))
 
 
