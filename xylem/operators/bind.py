@@ -69,8 +69,8 @@ def read_typed(xml: Column, schema: T.StructType | str, strict: bool = False, wi
     options = FROM_XML | ({"wildcardColName": wildcard} if wildcard else {})
     # a document that fails is null as a whole: its record of the failure is kept beside
     parse = T.StructType([*_raw(kind).fields, T.StructField("__corrupt", T.StringType())])
-    got = F.from_xml(xml, _ddl(parse), options)
-    return F.when(xml.isNotNull() & got["__corrupt"].isNull(), _fix(got, kind, "", strict))
+    # bound once: every field would otherwise parse the document again
+    return let(F.from_xml(xml, _ddl(parse), options), lambda got: F.when(xml.isNotNull() & got["__corrupt"].isNull(), _fix(got, kind, "", strict)))
 
 
 def _ddl(kind: T.StructType) -> str:
