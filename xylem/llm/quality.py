@@ -18,6 +18,8 @@ from .labelled import training_sample
 
 #: Hash buckets, vector length, labelled ids used of each class, and passes over them.
 BUCKETS_LOG2, DIM, PER_CLASS, EPOCHS = 17, 8, 1500, 12
+#: Descent steps of a fit, at least.
+LEAST_STEPS = 800
 #: A word that repeats the one before it is a feature of its own, in bucket zero.
 _REPEAT = 0
 
@@ -78,6 +80,8 @@ def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS
         row, bucket = key // size, (key % size).astype(np.int32)
         share = times / np.maximum(np.bincount(row, times, f.n), 1)[row]
         parts.append((row.astype(np.int32), bucket, share, y_[pick], c[pick], f.n))
+    # few documents are gone over more often
+    epochs = max(epochs, -(-LEAST_STEPS // max(len(parts), 1)))
     steps, done = max(1, epochs * len(parts)), 0
     for _ in range(epochs):
         for row, bucket, share, label, cost, n in parts:
