@@ -52,6 +52,7 @@ def write(spark, value, schema, root="r", **kw):
         ((None,), "STRUCT<`@a`: STRING>", {"empty": "expanded"}, "<r></r>"),
         (([1, None],), "STRUCT<i: ARRAY<INT>>", {}, "<r><i>1</i><i/></r>"),
         ((True, 1), "STRUCT<b: BOOLEAN, i: BIGINT>", {"indent": 2}, "<r>\n  <b>true</b>\n  <i>1</i>\n</r>"),
+        ((1, "t", 2), "STRUCT<a: INT, `$text`: STRING, b: INT>", {"indent": 2}, "<r>\n  <a>1</a>t<b>2</b>\n</r>"),
         (("'\">",), "STRUCT<t: STRING>", {"quote": "full"}, "<r><t>&apos;&quot;&gt;</t></r>"),
         (("'\">",), "STRUCT<t: STRING>", {"quote": "minimal"}, "<r><t>'\"></t></r>"),
         (("a]]>",), "STRUCT<t: STRING>", {"text": "cdata"}, "<r><t><![CDATA[a]]]]><![CDATA[>]]></t></r>"),

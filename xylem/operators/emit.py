@@ -38,8 +38,8 @@ def event_text(kind: Column, content: Column, options: WriterOptions = WriterOpt
 def write_events(ev: DataFrame, options: WriterOptions = WriterOptions(), into: str = "xml") -> DataFrame:
     """(doc_id, xml): each document's events written in the order of ``seq``.
 
-    With indentation a markup event starts a new line, unless it is the document's first
-    event or follows a Text, CData or reference; errors and Eof write nothing.
+    With indentation every event but Text and CData starts a new line, unless it is the
+    document's first or follows a Text or CData; errors and Eof write nothing.
     """
     rows = ev.withColumn("__s", event_text(F.col("kind"), F.coalesce("content", F.lit("")), options))
     if options.indent_size:
@@ -47,10 +47,8 @@ def write_events(ev: DataFrame, options: WriterOptions = WriterOptions(), into:
         before = F.lag("kind").over(w)
         step = F.when(F.col("kind") == "Start", 1).when(F.col("kind") == "End", -1).otherwise(0)
         depth = F.greatest(F.sum(step).over(w) - F.when(F.col("kind") == "Start", 1).otherwise(0), F.lit(0))
-        markup = ~F.col("kind").isin("Text", "CData", "GeneralRef", "Error", "Eof")
-        line = markup & before.isNotNull() & ~before.isin("Text", "CData", "GeneralRef")
-        # an end right after its start stays beside it
-        line = line & ~((F.col("kind") == "End") & (before == "Start"))
+        markup = ~F.col("kind").isin("Text", "CData", "Error", "Eof")
+        line = markup & before.isNotNull() & ~before.isin("Text", "CData")
         pad = F.when(line, F.concat(F.lit("\n"), F.repeat(F.lit(options.indent_char), (depth * options.indent_size).cast("int")))).otherwise("")
         rows = rows.withColumn("__s", F.concat(pad, "__s"))
     parts = F.array_sort(F.collect_list(F.struct("seq", "__s")))
@@ -215,13 +213,13 @@ def _struct(name: str, c: Column, kind: T.StructType, options: TypedOptions, lev
     head = F.concat(F.lit(f"<{name}"), *attrs)
     if not pieces:
         return _empty(name, head, options)
-    if options.indent and not any(t for _, t in pieces):
-        line = _pad(options, level + 1)
-        body = F.concat(*[F.when(p == "", "").otherwise(F.concat(F.lit(line), p)) for p, _ in pieces])
-        close = F.lit(_pad(options, level) + f"</{name}>")
-    else:
-        body = F.concat(*[p for p, _ in pieces])
-        close = F.lit(f"</{name}>")
+    # an element starts a line of its own unless a text stands before it
+    line, fresh, parts = _pad(options, level + 1), True, []
+    for piece, is_text in pieces:
+        parts.append(piece if is_text or not fresh else F.when(piece == "", "").otherwise(F.concat(F.lit(line), piece)))
+        fresh = not is_text
+    body = F.concat(*parts)
+    close = F.lit((_pad(options, level) if fresh else "") + f"</{name}>")
     return F.when(body == "", _empty(name, head, options)).otherwise(F.concat(head, F.lit(">"), body, close))
 
 

@@ -466,7 +466,7 @@ def writer_concat(spark, sf_dir):
     return emit.write_events(ev.withColumn("content", F.coalesce(renamed, F.col("content"))), WriterOptions(add_space_before_slash_in_empty_elements=True))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<a>' || chr(10) || '  <b>' || n_name || '</b>' || chr(10) || '  <c/>' || chr(10) || '  <d></d>' || chr(10) || '</a>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<a>' || chr(10) || '  <b>' || n_name || '</b>' || chr(10) || '  <c/>' || chr(10) || '  <d>' || chr(10) || '  </d>' || chr(10) || '</a>' AS xml FROM nation")
 def writer_indent(spark, sf_dir):
     """Indentation around markup, none around text."""
     docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("<a><b>"), "n_name", F.lit("</b><c/><d></d></a>")).alias("xml"))
