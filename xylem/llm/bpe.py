@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import string_buffers, within
+from .common import string_buffers, trim, within
 from .vocab import Memory, Vocabulary, load, ship
 
 _NONE = np.int64(1) << 40
@@ -240,6 +240,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", digests: bool
                     out.append(pa.array([hashlib.sha256(c.digits(x).encode()).hexdigest() for x in got], pa.string()))
                     out.append(pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, *names])
+        trim()
 
     return source.mapInArrow(run, schema)
 

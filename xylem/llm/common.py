@@ -7,6 +7,7 @@ Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from functools import lru_cache
 
@@ -71,6 +72,23 @@ def bucket_of(col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library: nothing to give back
+        return None
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift-multiply)."""
     h = h ^ (h >> np.uint64(30))

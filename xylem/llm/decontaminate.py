@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready, row_slices, span_hashes, string_buffers, window_hashes, word_bounds
+from .common import ready, row_slices, span_hashes, string_buffers, trim, window_hashes, word_bounds
 
 #: Share of an item's words that may be edited, and the least words of an item.
 SHARE, LEAST_WORDS = 0.2, 5
@@ -258,6 +258,7 @@ def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
                     for hit in find_leaks(known, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                         clean[i + hit[0]] = False
                 yield batch.filter(pa.array(clean))
+            trim()
 
         df = ready(df).mapInArrow(run, df.schema)
     return df

@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship_package
 from .common import block_count, row_slices, span_hashes, string_buffers, word_bounds

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, bucket_of, ready, row_slices, span_hashes, string_buffers, window_hashes, within, word_bounds
+from .common import block_count, bucket_of, ready, row_slices, span_hashes, string_buffers, trim, window_hashes, within, word_bounds
 
 WINDOW = 13
 #: Reference blocks are given by the top bits of a hash: at least and at most so many bits.
@@ -172,8 +172,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             works.append(np.full(len(at), work_no, np.int32))
             hashes.append(h)
             docs.append(np.repeat(np.cumsum(d) + least, counts))
-            owners.append(np.repeat(np.cumsum(rows), counts))
-            places.append(at)
+            owners.append(np.repeat(np.cumsum(rows).astype(np.int32), counts))
+            places.append(at.astype(np.int32))
         h, d, own, at, wk = (np.concatenate(x) for x in (hashes, docs, owners, places, works))
         del hashes, docs, owners, places, works
         order = np.argsort(h, kind="stable")
@@ -234,10 +234,21 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return pa.table(out)
 
     # both branches read one and the same shuffle of the texts
-    sent = work.groupBy("__work").applyInArrow(send, "ref int, work int, blob binary")
-    replies = sent.repartition(n_ref, "ref").groupBy("ref").applyInArrow(index, "work int, blob binary")
+    def trimmed(f):
+        def g(*tables: pa.Table) -> pa.Table:
+            out = f(*tables)
+            trim()
+            return out
+
+        return g
+
+    send_one = trimmed(send)
+    index_one = trimmed(index)
+    parse_both = trimmed(parse)
+    sent = work.groupBy("__work").applyInArrow(lambda t: send_one(t), "ref int, work int, blob binary")
+    replies = sent.repartition(n_ref, "ref").groupBy("ref").applyInArrow(lambda t: index_one(t), "work int, blob binary")
     both = work.groupBy("__work").cogroup(replies.groupBy("work"))
-    return both.applyInArrow(parse, schema)
+    return both.applyInArrow(lambda t, r: parse_both(t, r), schema)
 
 
 def _join(w: Windows, gone: np.ndarray, word0: np.ndarray) -> pa.Array:

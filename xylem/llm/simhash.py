@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, mix, ready, row_slices, span_hashes, string_buffers, window_hashes, within, word_bounds
+from .common import checkpoint, mix, ready, row_slices, span_hashes, string_buffers, trim, window_hashes, within, word_bounds
 from .components import components
 
 #: Fingerprints of one key that one task compares; more are dealt out in chunks.
@@ -180,6 +180,7 @@ def _links(rows: DataFrame, size: int, d: int, chunk: int = CHUNK) -> DataFrame:
                 held.append(cols)
         if held:
             yield flush(tuple(np.concatenate([h[i] for h in held]) for i in range(3)))
+        trim()
 
     return ready(dealt).mapInArrow(run, "a long, b long")
 
@@ -219,6 +220,7 @@ def long_fingerprints(df: DataFrame, text: str = "text", size: int = 5, bits: in
                         out.append(one(shingles[a : b - size + 1] if b - a >= size else window_hashes(words[a:b], b - a)))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(out, pa.binary())], names=[*kept, "fp"])
+        trim()
 
     return source.mapInArrow(run, schema)
 

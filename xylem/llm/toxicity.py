@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ready, row_slices, span_hashes, string_buffers, within, word_bounds
+from .common import ready, row_slices, span_hashes, string_buffers, trim, within, word_bounds
 from .labelled import training_sample
 
 #: Hash buckets, labelled ids used of each class, and passes over them.
@@ -153,6 +153,7 @@ def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str =
                     spans = pa.StructArray.from_arrays([pa.array(s.start[bad] - at[s.row[bad]]), pa.array(s.end[bad] - at[s.row[bad]]), pa.array(p[bad])], names=["start", "end", "score"])
                     out.append(pa.ListArray.from_arrays(pa.array(per), spans))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *out], names=[*kept, *names])
+        trim()
 
     return source.mapInArrow(run, schema)
 

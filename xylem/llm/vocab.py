@@ -18,7 +18,7 @@ from ..session import ship_package
 #: Largest vocabulary file that is shipped to executors.
 MAX_VOCAB_BYTES = 64 << 20
 #: Distinct strings remembered by one Python worker before its memory is renewed.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 400_000
 
 
 def ship(spark: SparkSession, path: str):
