@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from xylem.llm.bpe import bpe_encode
 from xylem.llm.common import read
 from xylem.llm.decontaminate import drop_leaks
+from xylem.llm.jaccard import similar_documents
 from xylem.llm.queries import vocabulary
 from xylem.llm.repair import shared_path
 from xylem.llm.rlz import substring_dedup
-from xylem.llm.simhash import similar_documents
 from xylem.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents of this score or more are rejected as toxic.

@@ -10,6 +10,7 @@ import xxhash
 from xylem.llm import decontaminate as dc
 from xylem.llm.common import string_buffers
 from xylem.llm.components import components
+from xylem.llm.jaccard import parity, parity_distance
 from xylem.llm.rlz import substring_dedup
 from xylem.llm.simhash import forest, hamming_links, near_duplicates, similar_documents
 
@@ -140,6 +141,45 @@ def test_similar_documents(spark):
     assert got == {5: 2, 2: 2, 3: 3, 9: 2, 10: 10, 11: 11, 12: 11}
 
 
+def shingles(t, size=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def alike(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_similar_documents_finds_every_pair(spark, chunk):
+    """Brute force: short texts, similarities about 0.8, and a key that many texts hold."""
+    rng = random.Random(11)
+    texts = []
+    for n in [*range(8, 21)] * 4 + [104, 104, 300]:
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+        texts.append(base)
+        for same in (0.8, 0.85, 0.9):
+            s = n - 4
+            k = s - max(1, int(s * (1 - same)))  # shingles kept at the front
+            texts.append(base[: k + 4] + [f"x{rng.randint(0, 9999)}" for _ in range(rng.randint(0, s - k))])
+    hot = [f"h{i}" for i in range(12)]
+    texts += [hot + [f"y{i % 5}", f"z{i}"][: 1 + i % 2] for i in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if alike(sets[a], sets[b])]
+    assert len(links) > 150
+    got = {r.doc_id: r.component_id for r in similar_documents(frame(spark, rows), chunk=chunk).collect()}
+    assert got == smallest(range(len(sets)), links)
+
+
+def test_parities_lose_nothing():
+    rng = np.random.default_rng(12)
+    for n, m, k in [(0, 0, 0), (1, 1, 0), (300, 300, 250), (255, 520, 200), (2000, 90, 90)]:
+        h = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        x, y = h[:n], np.concatenate([h[:k], h[n : n + m - k]])
+        assert parity_distance(parity(x), parity(y)) <= len(np.setxor1d(x, y))
+
+
 def test_passage_distance():
     a = lambda *x: np.array(x, np.uint64)
     assert dc.passage_distance(a(1, 2, 3), a(9, 1, 2, 3, 9)) == (0, 1, 4)

@@ -22,18 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, mix, ready, row_slices, span_hashes, string_buffers, trim, window_hashes, within, word_bounds
+from .common import checkpoint, ready, row_slices, string_buffers, trim, within
 from .components import components
+from .jaccard import similar_documents  # noqa: F401 - its former place
 
 #: Fingerprints of one key that one task compares; more are dealt out in chunks.
 CHUNK = 2048
 #: Keys of so many fingerprints or fewer are compared all at once, pair by pair.
 SMALL = 12
-#: Bits of a fingerprint for a similarity, and of each of its blocks.
-LONG_BITS, BLOCK_BITS = 512, 16
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 
 
 def shingle_fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -185,68 +181,6 @@ def _links(rows: DataFrame, size: int, d: int, chunk: int = CHUNK) -> DataFrame:
     return ready(dealt).mapInArrow(run, "a long, b long")
 
 
-def long_fingerprints(df: DataFrame, text: str = "text", size: int = 5, bits: int = LONG_BITS, keep: list[str] | None = None) -> DataFrame:
-    """Add ``fp``: a binary SimHash of ``bits`` over the set of shingles of ``size`` words.
-
-    A-Z are lower-cased; fewer words than ``size`` are one shingle; a null or wordless
-    text has zeros.
-    """
-    kept = [c for c in within(df, ["fp"]) if keep is None or c in keep]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("fp", T.BinaryType())])
-    source = ready(df).select(*kept, df[text].alias("__text"))
-    salt = np.random.default_rng(5).integers(1, 1 << 63, bits // 64, dtype=np.uint64)
-
-    def one(h: np.ndarray) -> bytes:
-        h = np.unique(h)
-        total = np.zeros(bits, np.int64)
-        for i in range(0, len(h), 4096):
-            wide = mix(h[i : i + 4096, None] ^ salt[None, :])
-            total += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-        return np.packbits(2 * total > len(h)).tobytes()
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = string_buffers(batch.column("__text"))
-            for i, j in row_slices(offsets):
-                low = _LOWER[raw[offsets[i] : offsets[j]]]
-                starts, ends, first = word_bounds(low, offsets[i : j + 1] - offsets[i])
-                words = span_hashes(low, starts, ends)
-                shingles = window_hashes(words, size)
-                out = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    if a == b:
-                        out.append(bytes(bits // 8))
-                    else:
-                        out.append(one(shingles[a : b - size + 1] if b - a >= size else window_hashes(words[a:b], b - a)))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(out, pa.binary())], names=[*kept, "fp"])
-        trim()
-
-    return source.mapInArrow(run, schema)
-
-
-def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, bits: int = LONG_BITS, block: int = BLOCK_BITS) -> DataFrame:
-    """(doc_id, component_id): near-duplicates by a similarity of word shingles.
-
-    Texts whose shingle sets have Jaccard similarity J agree in cosine 2J / (1 + J), so a
-    bit of their fingerprints differs with chance arccos(cosine) / pi; pairs that differ
-    in no more bits than expected at ``similarity`` are linked.  Such pairs share one of
-    the ``bits / block`` blocks with chance 0.90 at J = 0.80, 0.98 at 0.85 and above 0.99
-    at 0.9 and more.  Equal texts always link.  Null ids get no component.
-    """
-    apart = bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    fps = checkpoint(long_fingerprints(docs, size=size, bits=bits, keep=["doc_id"]))
-    distinct = checkpoint(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    step = block // 8
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("fp", i * step + 1, step)) for i in range(bits // block)])
-    rows = distinct.select("fp", "rep", F.explode(keys).alias("key"))
-    comp = components(_links(rows, distinct.count() * (bits // block), int(np.ceil(apart))))
-    classes = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("__c"))
-    out = fps.join(classes, "fp", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("__c")).alias("component_id"))
-
-
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, d: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``df``.
 
