@@ -66,6 +66,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             sets = [*shingle_sets(batch.column("text"), size), np.zeros(0, np.uint64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+        trim()
 
     rows = ready(some).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
     got = rows.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
@@ -209,6 +210,7 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
             bits = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)
             apart = np.array([parity_distance(x, y) for x, y in bits], np.int64)
             yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+        trim()
 
     # repeated names of a set (sid) give a pair more than once
     pairs = checkpoint(ready(pairs).mapInArrow(possible, "a long, b long").distinct())
@@ -221,6 +223,7 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "set"])
+        trim()
 
     sets = ready(texts).mapInArrow(run, "rep long, digest binary, set binary")
     # an id on several rows may have other texts, or the same again
