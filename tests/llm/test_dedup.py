@@ -8,10 +8,10 @@ import pytest
 import xxhash
 
 from xylem.llm import decontaminate as dc
-from xylem.llm.common import string_buffers
+from xylem.llm.common import span_hashes, span_ids, string_buffers, word_bounds
 from xylem.llm.components import components
 from xylem.llm.jaccard import parity, parity_distance
-from xylem.llm.rlz import substring_dedup
+from xylem.llm.rlz import Reference, Windows, factorise, substring_dedup
 from xylem.llm.simhash import forest, hamming_links, near_duplicates, similar_documents
 
 
@@ -58,6 +58,51 @@ def test_substrings(spark):
     assert substring_dedup(df.filter("doc_id < 0")).count() == 0
 
 
+def thue_morse(order):
+    """A word of ``2 ** order`` letters and its complement: one value for many a rolling hash."""
+    t = "a"
+    for _ in range(order):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("order", [10, 11])
+def test_substrings_of_twin_words(spark, order):
+    x, y = thue_morse(order)
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {y}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_factors_compare_words():
+    """Windows that share a hash are told apart by their words, and the next of the index is tried."""
+    def windows(*rows):
+        raw, offsets = string_buffers(pa.array(rows))
+        return Windows(raw, offsets, 3)
+
+    w = windows("a b c d e")
+    w.hashes[:] = 7
+    parts = ["x y z", "a b c", "c d e f"]
+    ref = Reference(np.array([1, 2, 3]), np.array([5, 6, 7]), np.array([len(p) for p in parts]), np.frombuffer("".join(parts).encode(), np.uint8), 3)
+    ref.keys[:] = 7
+    ref.w.hashes[:] = 7
+    ref.order = np.lexsort((ref.place[ref.w.row], ref.doc[ref.w.row], ref.w.hashes))
+    assert factorise(w, np.array([9]), ref).tolist() == [[0, 0, 3, 1, 0], [0, 2, 3, 2, 0]]
+    assert factorise(w, np.array([3]), ref).tolist() == [[0, 0, 3, 1, 0]]
+
+
+def test_span_ids_tell_bytes_apart():
+    raw, offsets = string_buffers(pa.array(["one two one three threefold threefolk threefold"]))
+    starts, ends, _ = word_bounds(raw, offsets)
+    ids = span_ids(raw, starts, ends, np.full(7, 5, np.uint64)).tolist()
+    assert [[ids[i] == ids[j] for j in range(7)] for i in range(7)] == [[a == b for b in (0, 1, 0, 2, 3, 4, 3)] for a in (0, 1, 0, 2, 3, 4, 3)]
+    x, y = thue_morse(10)
+    raw, offsets = string_buffers(pa.array([x, y, x, x[:64], y[:64], x[:63]]))
+    h = span_hashes(raw, offsets[:-1], offsets[1:])
+    assert len(set(h.tolist())) == 5 and h[0] == h[2]
+
+
 def fingerprint(t, size=3):
     w = (t or "").encode().lower().split()
     if not w:

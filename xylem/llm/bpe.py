@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import string_buffers, trim, within
-from .vocab import Memory, Vocabulary, load, ship
+from .vocab import Memory, Vocabulary, library_tables, load, ship, unknown_signs
 
 _NONE = np.int64(1) << 40
 #: White space for Python's split() that is no white space for the pattern.
@@ -120,7 +120,7 @@ class Codec:
     """Texts to ids and back for a lower-case vocabulary with word ends."""
 
     def __init__(self, data: bytes):
-        self.v = load(data)
+        self.data, self.v = data, load(data)
         self.merger = Merger(self.v)
         self.chunks = Memory()
         self.names = self.v.tokens
@@ -131,6 +131,12 @@ class Codec:
             return _SOLID.findall(text)
         return text.split()
 
+    def pieces(self, chunk: str) -> list[str]:
+        """Lower-case pieces; signs newer than Python's tables are left to the library's."""
+        if unknown_signs(chunk):
+            return library_tables(self.data).pieces(chunk)
+        return _PIECES.findall(lower_nfc(chunk))
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids (little-endian 32-bit) of chunks free of white space."""
         plan, wanted = [], {}
@@ -140,12 +146,12 @@ class Codec:
             if special is not None and "<|" in chunk and special.search(chunk):
                 at = 0
                 for m in special.finditer(chunk):
-                    parts += _PIECES.findall(lower_nfc(chunk[at : m.start()]))
+                    parts += self.pieces(chunk[at : m.start()])
                     parts.append(self.v.special[m[0]])
                     at = m.end()
-                parts += _PIECES.findall(lower_nfc(chunk[at:]))
+                parts += self.pieces(chunk[at:])
             else:
-                parts = _PIECES.findall(lower_nfc(chunk))
+                parts = self.pieces(chunk)
             plan.append(parts)
             for p in parts:
                 if isinstance(p, str):
@@ -217,7 +223,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", digests: bool
     if digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     names = [f.name for f in fields]
-    kept = [c for c in within(df, names) if keep is None or c in keep]
+    kept = within(df, names, keep)
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     source = df.select(*kept, *([df[text].alias("__text")]))
     data = ship(df.sparkSession, vocab_path)

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ UNKNOWN_BYTES = 1 << 50
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_P = 0x9E3779B97F4A7C15 | 1
-_Q = 0xD6E8FEB86659FD93 | 1
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer spans are hashed one by one.
+_LANES_TO = 64
+#: Masks that keep the first n of eight bytes.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def ready(df: DataFrame) -> DataFrame:
@@ -47,13 +50,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared folder of ``spark.checkpoint.dir``.
 
-    A local folder is used only where the session names none, as in tests.
+    A local folder is used only where the session names none and runs on one machine.
     """
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, set from ``spark.checkpoint.dir`` where need be."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xylem-ckpt-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="xylem-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = 8, most: int = 1 << 20) -> int:
@@ -99,30 +110,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inv = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            out = []
-            for b in (self.base, self.inv):
-                a = np.full(size, b, dtype=np.uint64)
-                a[0] = 1
-                out.append(np.multiply.accumulate(a))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-@lru_cache(maxsize=4)
-def powers(base: int) -> _Powers:
-    return _Powers(base)
-
-
 def string_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -169,26 +156,97 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as integers; zeros follow the end."""
+    room = np.zeros(len(raw) + 16, np.uint8)
+    room[: len(raw)] = raw
+    return np.ndarray(len(raw) + 8, "<u8", room, strides=(1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: equal spans, equal hashes, wherever they stand."""
-    up, down = powers(_P).get(len(raw) + 1)
-    h = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * up[: len(raw)], out=h[1:])
-    return mix((h[ends] - h[starts]) * down[starts])
+    """64-bit hash of each byte span: equal spans, equal hashes, wherever they stand.
+
+    Eight bytes at a time are mixed in by a non-linear bijection, so no two spans of one
+    length up to eight collide; spans beyond 64 bytes take XXH3.  Where a result may only
+    rest on equal bytes, callers compare them (``same_spans``, ``span_ids``).
+    """
+    size = ends - starts
+    eight = lanes(raw)
+    h = mix(size.astype(np.uint64) * _ODD ^ (eight[starts] & _KEEP[np.minimum(size, 8)]))
+    more, at = np.flatnonzero((size > 8) & (size <= _LANES_TO)), 8
+    while len(more):
+        left = size[more] - at
+        h[more] = mix(h[more] * _ODD ^ (eight[starts[more] + at] & _KEEP[np.minimum(left, 8)]))
+        at += 8
+        more = more[left > 8]
+    for i in np.flatnonzero(size > _LANES_TO).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive words (callers drop those crossing rows)."""
     n = len(words) - k + 1
-    if n <= 0:
+    if n <= 0 or k <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(_Q).get(len(words) + 1)
-    g = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=g[1:])
-    return mix((g[k:] - g[:-k]) * down[:n])
+    # runs of one, two, four, ... words; those that make up k are joined in order
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if k & size:
+            part = run[done : done + n]
+            out = part if out is None else mix(out * _ODD + part)
+            done += size
+        if done == k:
+            return out if k > 1 else mix(out)
+        run = mix(run[:-size] * _ODD + run[size:])
+        size *= 2
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` on equal those from ``b`` on (in ``other``, if given)."""
+    x, y = lanes(raw), lanes(raw if other is None else other)
+    same = np.ones(len(a), bool)
+    todo, at = np.arange(len(a)), 0
+    while len(todo):
+        left = size[todo] - at
+        equal = ((x[a[todo] + at] ^ y[b[todo] + at]) & _KEEP[np.minimum(left, 8)]) == 0
+        same[todo[~equal]] = False
+        todo = todo[equal & (left > 8)]
+        at += 8
+    return same
+
+
+def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span; equal numbers where, and only where, the bytes are equal."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    ids = ids.astype(np.int64).ravel()
+    rep = first[ids]
+    size = ends - starts
+    same = size == size[rep]
+    at = np.flatnonzero(same)
+    same[at] = same_spans(raw, starts[at], starts[rep[at]], size[at])
+    known: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # other bytes of one hash
+        ids[i] = len(first) + known.setdefault(raw[starts[i] : ends[i]].tobytes(), len(known))
+    return ids
+
+
+def within(df: DataFrame, wanted: list[str], keep: list[str] | None = None) -> list[str]:
+    """Input columns that survive beside result columns of the names ``wanted``.
+
+    ``keep`` narrows them down; a name that is not there is an error.
+    """
+    taken = {w.lower() for w in wanted}
+    if missing := [c for c in keep or () if c not in df.columns]:
+        raise ValueError(f"no such columns to keep: {missing}")
+    return [c for c in df.columns if c.lower() not in taken and (keep is None or c in keep)]
 
 
-def within(df: DataFrame, wanted: list[str]) -> list[str]:
-    """Input columns that survive beside result columns of the names ``wanted``."""
-    taken = {w.lower() for w in wanted}
-    return [c for c in df.columns if c.lower() not in taken]
+def whole_number(df: DataFrame, name: str) -> Column:
+    """Column ``name`` as a long; a column of another kind is refused when the plan is built."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"column {name} holds ids as {kind}, not as integers")
+    return df[name].cast("long")

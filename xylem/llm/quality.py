@@ -107,7 +107,7 @@ def score_quality(df: DataFrame, table: np.ndarray, bias: float, text: str = "te
 
     A null or empty text has no features and scores by the bias alone.
     """
-    kept = [c for c in within(df, ["score"]) if keep is None or c in keep]
+    kept = within(df, ["score"], keep)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("score", T.DoubleType())])
     bits = len(table).bit_length() - 1
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(table, np.float32))

@@ -57,7 +57,7 @@ def shingle_fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", size: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """Add ``fp`` (the 64 bits as a long).  A null or wordless text has zero."""
-    kept = [c for c in within(df, ["fp"]) if keep is None or c in keep]
+    kept = within(df, ["fp"], keep)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("fp", T.LongType())])
     source = ready(df).select(*kept, df[text].alias("__text"))
 

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import row_slices, string_buffers, within
-from .vocab import CACHE_ENTRIES, Memory, Vocabulary, load, ship
+from .vocab import CACHE_ENTRIES, Memory, Vocabulary, library_tables, load, ship, unknown_signs
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
 class Counter:
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, data: bytes):
+        self.data = data
         self.special, self.pattern = v.special, v.special_pattern
         shift = len(v.tokens).bit_length()
         self.shift = shift
@@ -79,7 +80,8 @@ class Counter:
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings, taken piece by piece."""
         total, known = 0, self.pieces
-        for p in _PIECES.findall(text):
+        # signs newer than Python's tables are left to the library's
+        for p in library_tables(self.data).pieces(text) if unknown_signs(text) else _PIECES.findall(text):
             c = known.get(p)
             if c is None:
                 c = known[p] = self.merged(p.encode())
@@ -103,7 +105,7 @@ class Counter:
         """
         if not text:
             return 0
-        if not simple or "<|" in text:
+        if not simple or "<|" in text or unknown_signs(text):
             return self.whole(text)
         units = text.replace("\n", " \n").split(" ")
         total = self.plain(units[0])
@@ -123,7 +125,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(data: bytes) -> Counter:
-    return Counter(load(data))
+    return Counter(load(data), data)
 
 
 def simple_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ def token_counts(df: DataFrame, vocab_path: str, text: str = "text", limit: int
     all but those named like a result).  One narrow pass without shuffle.
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
-    kept = [c for c in within(df, names) if keep is None or c in keep]
+    kept = within(df, names, keep)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     source = df.select(*kept, df[text].alias("__text"))
     data = ship(df.sparkSession, vocab_path)

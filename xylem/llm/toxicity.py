@@ -127,7 +127,7 @@ def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str =
     as byte places in the UTF-8 text.  A null, empty or wordless text scores zero.
     """
     names = ["score"] + ["offending"] * sentences
-    kept = [c for c in within(df, names) if keep is None or c in keep]
+    kept = within(df, names, keep)
     fields = [T.StructField("score", T.DoubleType())]
     if sentences:
         fields.append(T.StructField("offending", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))))

@@ -7,6 +7,8 @@ bytes (size-checked) to the executors, so no executor needs the path.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +33,48 @@ def ship(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Code points of the basic plane that Python's tables do not know."""
+    odd = [c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    spans: list[list[int]] = []
+    for c in odd:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]")
+
+
+def unknown_signs(text: str) -> bool:
+    """True if a sign is of a Unicode version that Python's tables may not agree on."""
+    if text.isascii():
+        return False
+    return _unassigned().search(text) is not None or any(unicodedata.category(c) == "Cn" for c in _ASTRAL.findall(text))
+
+
+class LibraryTables:
+    """Normalised pieces by the library's own character tables: for texts with unknown signs."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_str(data.decode())
+
+    def pieces(self, text: str) -> list[str]:
+        if self.t.normalizer is not None:
+            text = self.t.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)] if text else []
+
+
+@lru_cache(maxsize=2)
+def library_tables(data: bytes) -> LibraryTables:
+    return LibraryTables(data)
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in for each byte used by byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
