@@ -10,9 +10,9 @@ import xxhash
 from xylem.llm import decontaminate as dc
 from xylem.llm.common import span_hashes, span_ids, string_buffers, word_bounds
 from xylem.llm.components import components
-from xylem.llm.jaccard import parity, parity_distance
+from xylem.llm.jaccard import may_be_similar, one_of_each, parity, similar_documents
 from xylem.llm.rlz import Reference, Windows, factorise, substring_dedup
-from xylem.llm.simhash import forest, hamming_links, near_duplicates, similar_documents
+from xylem.llm.simhash import forest, hamming_links, near_duplicates
 
 
 def frame(spark, rows):
@@ -233,7 +233,21 @@ def test_parities_lose_nothing():
     for n, m, k in [(0, 0, 0), (1, 1, 0), (300, 300, 250), (255, 520, 200), (2000, 90, 90)]:
         h = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
         x, y = h[:n], np.concatenate([h[:k], h[n : n + m - k]])
-        assert parity_distance(parity(x), parity(y)) <= len(np.setxor1d(x, y))
+        p, q = (np.frombuffer(parity(s), np.uint64)[None] for s in (x, y))
+        alike = len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y)))
+        assert may_be_similar(p, q, np.array([len(x) + len(y)]), alike)[0]
+
+
+def test_one_of_each_loses_no_text(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    x, y = thue_morse(10)
+    rows = [(3, long), (7, long), (7, "another text of some words here"), (9, "same row"), (9, "same row"), (8, f"a b c d {x}"), (5, f"a b c d {y}"), (None, long), (None, long), (20, None), (21, ""), (22, long + " x")]
+    df = frame(spark, rows)
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(3, long), (7, rows[2][1]), (9, "same row"), (8, rows[5][1]), (5, rows[6][1]), (None, long), (None, long), (20, None)], key=repr)
+    assert one_of_each(df.filter("doc_id < 0")).count() == 0
 
 
 def test_passage_distance():

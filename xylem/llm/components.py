@@ -14,6 +14,22 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Nodes of more edges than this, and than the share below of all, are joined by broadcast.
+HOT, SHARE = 256, 50_000
+
+
+def _with_least(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their node in ``low`` (u, m, n).
+
+    A node's edges stay where they are if they are many: such nodes are fewer than twice
+    ``SHARE``, as the edges (``n``) have but so many ends, and go to all executors.
+    """
+    bound = max(HOT, n // SHARE)
+    hot = F.broadcast(low.filter(F.col("n") > bound).select("u", "m"))
+    cold = low.filter(F.col("n") <= bound).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of an edge.
 
@@ -22,17 +38,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = checkpoint(e.filter("u is not null and v is not null and u <> v").distinct())
-    seen = None
-    while True:
+    n, seen = e.count(), None
+    while n:
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = checkpoint(_with_least(both, low, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = _with_least(large, low, n)
         small = pairs.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(pairs.select("u", F.col("m").alias("v")))
         e = checkpoint(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now == seen and now[0] == now[2]:
             break
-        seen = now
+        n, seen = max(n, now[0]), now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))

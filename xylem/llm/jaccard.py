@@ -7,8 +7,9 @@ exact similarity of the two sets, after a sieve that loses nothing: parities of
 differ in no more bits than the sets in elements.
 
 Only distinct sets are compared, so copies cost nothing.  Each key first proposes the
-pairs with its least set; then those that are not yet in one component, so a large group
-of near copies does not cost all its pairs.
+pairs with its most central set, the one most of whose first shingles others have too; then
+those that are not yet in one component and pass the sieve, which is applied where the
+sets of a key meet: a large group of near copies does not cost a row for each pair.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, ready, row_slices, span_hashes, string_buffers, trim, window_hashes, word_bounds
+from .common import checkpoint, ready, row_slices, span_hashes, string_buffers, trim, whole_number, window_hashes, word_bounds
 from .components import components
 
 #: Sets of one key that one task compares; more are dealt out in chunks.
@@ -32,6 +33,8 @@ BROADCAST = 1 << 19
 #: Pairs gathered before they are handed on.
 _PAIRS = 1 << 18
 _EPS = 1e-9
+#: Bits of a set's parity.
+_BITS = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -77,34 +80,31 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(s: np.ndarray) -> bytes:
     """A bit for each residue of the hashes: whether an odd number of them falls there."""
-    width = max(256, 1 << max(len(s) - 1, 0).bit_length())
-    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    odd = np.bincount((s & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def parity_distance(x: bytes, y: bytes) -> int:
-    """Differing bits of two parities: never more than the elements that one set alone has."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(x) != len(y):  # widths are powers of two: the wider one folds
-        if len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """False where two parities differ in more bits than similar sets in elements.
+
+    ``x``, ``y``: rows of parities as 64-bit words; ``sizes``: the two sets' elements together.
+    """
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return apart <= (1 - similarity) / (1 + similarity) * sizes + _EPS
 
 
 def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, digest, sid, n, bits): each text's set by its digest, the digest's first eight bytes, size and parity."""
+    """(doc_id, text_sha256, digest, sid, n, bits): each text's set by its digest, the digest's first eight bytes, size and parity."""
 
     def run(batches):
         for batch in batches:
             sets = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), parity(s)) for s in shingle_sets(batch.column("text"), size)]
             sid = np.frombuffer(b"".join(s[0] for s in sets), np.int64)[::2]
             digest, n, bits = (pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.binary())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digest, pa.array(sid), n, bits], names=["doc_id", "digest", "sid", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), digest, pa.array(sid), n, bits], names=["doc_id", "text_sha256", "digest", "sid", "n", "bits"])
         trim()
 
-    return ready(docs).mapInArrow(run, "doc_id long, digest binary, sid long, n int, bits binary")
+    return ready(docs).mapInArrow(run, "doc_id long, text_sha256 string, digest binary, sid long, n int, bits binary")
 
 
 def _heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -135,20 +135,26 @@ def _heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return ready(docs.select("text")).mapInArrow(run, "key long, sid long, n int, pos int")
 
 
+def _words(col: pa.Array) -> np.ndarray:
+    """Parities as rows of 64-bit words."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), _BITS // 64)
+
+
 def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """Pairs (a, b) of sets of a key in different components that sizes and places allow.
+    """Pairs (a, b) of sets of a key in different components that sizes, places and parities allow.
 
-    ``held`` has (key, sid, n, pos, met, c): sets that hold the key, and the component.
+    ``held`` has (key, sid, n, pos, met, c, bits): sets that hold the key, their component
+    and parity.
     """
     cut = F.pmod(F.xxhash64(F.lit("chunk"), "sid"), F.col("s")).cast("int")
     rows = held.withColumn("s", F.ceil(F.col("met") / chunk).cast("int")).withColumn("part", F.when(F.col("s") > 1, cut).otherwise(0))
     # a hot key's rows go to every pair of chunks that holds theirs
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("part", "o"), F.greatest("part", "o")).alias("key"), "n", "sid", "pos", "c", "part", (F.col("part") != F.col("o")).alias("cross"))
+    rows = rows.select(F.xxhash64("key", F.least("part", "o"), F.greatest("part", "o")).alias("key"), "n", "sid", "pos", "c", "part", (F.col("part") != F.col("o")).alias("cross"), "bits")
     dealt = rows.repartition("key").sortWithinPartitions("key", "n")
     names = ["key", "n", "sid", "pos", "c", "part"]
 
-    def pairs(key, n, sid, pos, c, part, cross):
+    def pairs(key, n, sid, pos, c, part, cross, bits):
         # a key of two chunks is told by any row of another chunk
         i, step, out, size = np.arange(len(key)), 0, [], 0
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -162,9 +168,13 @@ def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
             i, j = i[go], j[go]
             need = least_overlap(similarity / (1 + similarity), n[i] + n[j])
             ok = (c[i] != c[j]) & (~mixed[i] | (part[i] != part[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-            a, b = sid[i[ok]], sid[j[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            size += len(a)
+            x, y = i[ok], j[ok]
+            for k in range(0, len(x), 1 << 14):
+                u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                near = may_be_similar(bits[u], bits[v], n[u] + n[v], similarity)
+                a, b = sid[u[near]], sid[v[near]]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                size += len(a)
             if size >= _PAIRS:
                 yield np.unique(np.concatenate(out), axis=0)
                 out, size = [], 0
@@ -181,7 +191,7 @@ def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            cols = (*(np.asarray(batch.column(x)) for x in names), batch.column("cross").to_numpy(zero_copy_only=False))
+            cols = (*(np.asarray(batch.column(x)) for x in names), batch.column("cross").to_numpy(zero_copy_only=False), _words(batch.column("bits")))
             # the last key may go on in the next batch
             other = np.flatnonzero(cols[0] != cols[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -198,26 +208,32 @@ def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
     return ready(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of representatives: the pairs (a, b) of sets that reach the similarity."""
+def _stars(held: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): each key's sets with its most central one, as far as parities allow."""
+    # how much of a set's head others have too
+    share = held.groupBy("sid").agg((F.count("*") / F.first("n")).alias("share"))
+    central = held.join(share, "sid").groupBy("key").agg(F.max(F.struct("share", "sid", "n")).alias("low"))
+    near = F.least("n", "low.n") >= similarity * F.greatest("n", "low.n") - _EPS
+    stars = held.join(central, "key").filter(F.col("sid") != F.col("low.sid")).filter(near).select(F.col("low.sid").alias("a"), F.col("sid").alias("b")).distinct()
     sketch = distinct.select("sid", "n", "bits")
-    pairs = pairs.join(sketch.toDF("a", "n_a", "bits_a"), "a").join(sketch.toDF("b", "n_b", "bits_b"), "b")
+    pairs = stars.join(sketch.toDF("a", "n_a", "bits_a"), "a").join(sketch.toDF("b", "n_b", "bits_b"), "b")
 
     def possible(batches):
-        share = (1 - similarity) / (1 + similarity)
         for batch in batches:
-            most = share * (np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))) + _EPS
-            bits = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)
-            apart = np.array([parity_distance(x, y) for x, y in bits], np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+            size = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(_words(batch.column("bits_a")), _words(batch.column("bits_b")), size, similarity)))
         trim()
 
-    # repeated names of a set (sid) give a pair more than once
-    pairs = checkpoint(ready(pairs).mapInArrow(possible, "a long, b long").distinct())
+    return ready(pairs).mapInArrow(possible, "a long, b long").distinct()
+
+
+def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets that reach the similarity."""
+    pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     known = checkpoint(distinct.join(wanted, "sid").select("sid", "digest", "rep"))
     few = F.broadcast if known.count() <= BROADCAST else (lambda d: d)
-    texts = docs.join(few(known.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = docs.join(few(known.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches):
         for batch in batches:
@@ -227,10 +243,8 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
 
     sets = ready(texts).mapInArrow(run, "rep long, digest binary, set binary")
     # an id on several rows may have other texts, or the same again
-    sets = sets.join(few(known), ["digest", "rep"]).repartition("sid").dropDuplicates(["sid", "digest"]).select("sid", "rep", "set")
-    one = sets.toDF("a", "rep_a", "set_a")
-    two = sets.toDF("b", "rep_b", "set_b")
-    both = pairs.join(one, "a").join(two, "b").select("rep_a", "rep_b", "set_a", "set_b")
+    sets = sets.join(few(known), ["digest", "rep"]).repartition("sid").dropDuplicates(["sid", "digest"]).select("sid", "set")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def check(batches):
         for batch in batches:
@@ -239,35 +253,62 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = common >= similarity * (len(x) + len(y) - common) - _EPS
-            yield batch.select(["rep_a", "rep_b"]).filter(pa.array(keep)).rename_columns(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
         trim()
 
     return checkpoint(both.mapInArrow(check, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 
 
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, component_id): near-duplicates by the Jaccard similarity of shingle sets.
+    """(doc_id, text_sha256, component_id): near-duplicates by the Jaccard similarity of shingle sets.
 
     Two texts are linked where, and only where, their sets of shingles of ``size`` words
     (A-Z lower-cased) have at least ``similarity``; ``component_id`` is the least id
     reachable over links, the row's own included.  Fewer words than ``size`` are one
     shingle; null and wordless texts are linked with each other.  Null ids get no
-    component and link nothing; repeated rows each get theirs.
+    component and link nothing; repeated rows each get theirs, and rows of one id with
+    other texts are texts of their own, told by ``text_sha256`` (null: the empty text).
     """
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
+    ident = whole_number(df, doc_id)
+    docs = df.select(ident.alias("doc_id"), df[text].alias("text"), F.sha2(F.coalesce(df[text], F.lit("")), 256).alias("text_sha256"))
     known = checkpoint(_digests(docs, size))
     distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     rows = _heads(docs.filter("doc_id is not null"), size, similarity).repartition("key").dropDuplicates(["key", "sid"])
-    every = Window.partitionBy("key")
-    held = rows.withColumn("met", F.count("*").over(every)).withColumn("low", F.min(F.struct("sid", "n")).over(every))
-    held = checkpoint(held.filter("met > 1"))
-    near = F.least("n", "low.n") >= similarity * F.greatest("n", "low.n") - _EPS
-    stars = held.filter(F.col("sid") != F.col("low.sid")).filter(near).select(F.col("low.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    edges = _similar(docs, distinct, stars, size, similarity)
+    held = checkpoint(rows.withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1"))
+    edges = _similar(docs, distinct, _stars(held, distinct, similarity), size, similarity)
     comp = components(edges)
-    c = distinct.join(comp, distinct.rep == comp.node, "left").select("sid", F.coalesce("component", "rep").alias("c"))
-    rest = _apart(held.join(c, "sid").select("key", "sid", "n", "pos", "met", "c"), similarity, chunk)
+    c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), "bits")
+    open_keys = held.join(c.drop("bits"), "sid").groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
+    rest = _apart(held.join(open_keys, "key", "left_semi").join(c, "sid"), similarity, chunk)
     comp = components(edges.union(_similar(docs, distinct, rest, size, similarity)))
-    classes = distinct.join(comp, distinct.rep == comp.node, "left").select("digest", F.coalesce("component", "rep").alias("__c"))
-    out = known.select("doc_id", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("__c")).alias("component_id"))
+    sets = distinct.join(comp, distinct.sid == comp.node, "left").select("digest", "rep", F.coalesce("component", "sid").alias("c"))
+    # a component is named by its least id
+    least = sets.groupBy("c").agg(F.min("rep").alias("__c"))
+    out = known.select("doc_id", "text_sha256", "digest").join(sets.join(least, "c").select("digest", "__c"), "digest", "left")
+    return out.select("doc_id", "text_sha256", F.when(F.col("doc_id").isNotNull(), F.col("__c")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: one row of the least id of each component.
+
+    Rows are told by their id and text.  Null ids stay, as no links are known for them; of
+    rows with one id and text the first one Spark meets stays.
+    """
+    found = checkpoint(similar_documents(df, doc_id, text, size, similarity).filter("doc_id is not null"))
+    # of rows of the least id, with several texts in one component, the least digest stays
+    ahead = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_sha256")).alias("k"))
+    copies = found.groupBy("doc_id", "text_sha256", "component_id").agg(F.count("*").alias("__copies"))
+    key = F.struct("doc_id", "text_sha256")
+    marked = checkpoint(copies.join(ahead, "component_id").withColumn("__gone", key != F.col("k")).filter("__gone or __copies > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__gone"))
+    few = F.broadcast if marked.count() <= BROADCAST else (lambda d: d)
+    sha = F.sha2(F.coalesce(df[text], F.lit("")), 256)
+
+    def same(d: DataFrame):
+        return (whole_number(df, doc_id) == d["__id"]) & (sha == d["__sha"])
+
+    kept = df.join(few(marked), same(marked), "left_anti")
+    twice = marked.filter("not __gone")
+    if twice.isEmpty():
+        return kept
+    rows = df.join(few(twice), same(twice), "left_semi").withColumn("__sha", sha)
+    return kept.unionByName(rows.dropDuplicates([doc_id, "__sha"]).drop("__sha"))

@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, ready, row_slices, string_buffers, trim, within
+from .common import checkpoint, ready, row_slices, string_buffers, trim, whole_number, within
 from .components import components
-from .jaccard import similar_documents  # noqa: F401 - its former place
 
 #: Fingerprints of one key that one task compares; more are dealt out in chunks.
 CHUNK = 2048
 #: Keys of so many fingerprints or fewer are compared all at once, pair by pair.
 SMALL = 12
+#: Hot keys that go to all executors at most; more are joined by a shuffle.
+MANY = 1 << 19
 
 
 def shingle_fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -121,12 +122,13 @@ def _links(rows: DataFrame, size: int, d: int, chunk: int = CHUNK) -> DataFrame:
     ``fp`` is a long, or binary of a multiple of eight bytes.  Of small keys every link is
     given, of larger ones a spanning forest.
     """
-    met = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # keys of more rows than a chunk: fewer than size / chunk
+    hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > chunk))
+    hot = F.broadcast(hot) if hot.count() <= MANY else hot
     parts = int(size // 50_000) + 1
     # a hot key's rows go to every pair of chunks that holds theirs
     cut = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("s")).cast("int")
-    rows = rows.join(met, "key")
-    spread = rows.withColumn("s", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.when(F.col("s") > 1, cut).otherwise(0))
+    spread = rows.join(hot, "key", "left").withColumn("s", F.coalesce(F.ceil(F.col("n") / chunk).cast("int"), F.lit(1))).withColumn("c", F.when(F.col("s") > 1, cut).otherwise(0))
     spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     spread = spread.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fp", "rep")
     dealt = spread.repartition(max(parts, 1), "key").sortWithinPartitions("key", "rep")
@@ -189,7 +191,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Null and wordless texts have fingerprint zero and are linked like any other.  Rows
     with a null id get no component and link nothing; repeated rows each get theirs.
     """
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
+    docs = df.select(whole_number(df, doc_id).alias("doc_id"), df[text].alias("text"))
     fps = checkpoint(fingerprints(docs, size=size, seed=seed, keep=["doc_id"]))
     distinct = checkpoint(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # an id on several rows may stand for several fingerprints: they are one node
