@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xylem.llm.bpe import bpe_encode
 from xylem.llm.common import read
 from xylem.llm.decontaminate import drop_leaks
-from xylem.llm.jaccard import similar_documents
+from xylem.llm.jaccard import one_of_each
 from xylem.llm.queries import vocabulary
 from xylem.llm.repair import shared_path
 from xylem.llm.rlz import substring_dedup
@@ -31,13 +31,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate component; null ids stay.
+    """One document of each near-duplicate component, of its least id; null ids stay.
 
-    Five-word shingles, a similarity of 0.8 or more.
+    Five-word shingles, a similarity of 0.8 or more.  Rows are told by id and text: another
+    text on a second row of an id is a document of its own, an equal row is a copy.
     """
-    found = similar_documents(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs).select(*docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
