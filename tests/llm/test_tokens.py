@@ -114,6 +114,45 @@ def test_small_memory_keeps_results(word):
         assert ids.tolist() == word.encode(t, add_special_tokens=False).ids
 
 
+def test_chunks_of_one_hash(word, monkeypatch):
+    """Chunks that share a hash get their own ids all the same."""
+    import pyarrow as pa
+
+    from xylem.llm.common import string_buffers
+
+    monkeypatch.setattr(repair, "span_hashes", lambda raw, a, b: np.full(len(a), 9, np.uint64))
+    lib = repair.LibraryCodec(open(WORD, "rb").read())
+    for texts in (["the cat", "cat", "", "a  dog sat"], ["sat the", "thethethethe x"]):
+        ids, per = lib.encode(*string_buffers(pa.array(texts)))
+        want = [word.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and per.tolist() == [len(w) for w in want]
+
+
+def test_twin_words(spark, tmp_path, word):
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    twin = t.translate(str.maketrans("ab", "ba"))
+    path = str(tmp_path / "twins")
+    repair.write_token_files(spark.createDataFrame([(1, t), (2, twin)], "doc_id long, text string"), path, WORD)
+    got = {r.doc_id: r.ids for r in repair.read_token_files(spark, path).collect()}
+    assert got == {i: [*word.encode(x, add_special_tokens=False).ids, 1] for i, x in ((1, t), (2, twin))}
+
+
+def test_copies_collapse():
+    """A passage copied thousands of times costs a few symbols each time."""
+    rng = np.random.default_rng(3)
+    docs = [np.r_[rng.integers(2, 49000, 200), 1] for _ in range(20)]
+    flat = np.concatenate([docs[i] for i in rng.integers(0, 20, 4000)]).astype(np.uint32)
+    rules, body = repair.grammar(flat, 49408, 1)
+    assert len(body) < len(flat) // 60
+    assert repair.expand(body, rules, repair.expansions(rules, 49408), 49408).tolist() == flat.tolist()
+    many = rng.integers(2, 49000, 40_000).astype(np.uint32)
+    rules, body = repair.grammar(np.concatenate([many] * 40), 49408, 1, per_round=8000)
+    assert 49408 + len(rules) > 1 << 16  # beyond two bytes
+    assert repair.expand(body, rules, repair.expansions(rules, 49408), 49408).tolist() == [*many.tolist()] * 40
+
+
 def test_token_files(spark, tmp_path, word):
     rows = [(i, t) for i, t in enumerate(CASES)][::-1] + [(3, "the"), (None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

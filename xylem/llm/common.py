@@ -202,9 +202,8 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
-def same_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
-    """Whether the ``size`` bytes from ``a`` on equal those from ``b`` on (in ``other``, if given)."""
-    x, y = lanes(raw), lanes(raw if other is None else other)
+def same_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` on equal those from ``b`` on; ``x``, ``y`` are ``lanes``."""
     same = np.ones(len(a), bool)
     todo, at = np.arange(len(a)), 0
     while len(todo):
@@ -226,7 +225,8 @@ def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
     size = ends - starts
     same = size == size[rep]
     at = np.flatnonzero(same)
-    same[at] = same_spans(raw, starts[at], starts[rep[at]], size[at])
+    eight = lanes(raw)
+    same[at] = same_spans(eight, starts[at], eight, starts[rep[at]], size[at])
     known: dict[bytes, int] = {}
     for i in np.flatnonzero(~same).tolist():  # other bytes of one hash
         ids[i] = len(first) + known.setdefault(raw[starts[i] : ends[i]].tobytes(), len(known))

@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import block_count, row_slices, span_hashes, string_buffers, word_bounds
+from .common import block_count, checkpoint_dir, lanes, row_slices, same_spans, span_hashes, string_buffers, whole_number, word_bounds
 from .vocab import ship
 
 MAGIC, VERSION = b"XYRP", 1
 #: Ids gathered before a shard is closed (a longer document is still kept whole).
 SHARD_IDS = 2 << 20
-#: Rounds of pair replacement, rules added by one round, and uses that pay for a rule.
-ROUNDS, ROUND_RULES, LEAST_USES = 3, 8064, 8
+#: Rules added by one round at most.
+ROUND_RULES = 4000
+#: Uses that pay for a rule (two symbols and its length), by the bytes of a symbol.
+LEAST_USES = {2: 5, 4: 4}
 #: A control character: a piece, and a token, of its own.
 _APART = "\x01"
 #: Distinct chunks remembered by a worker: about 60 bytes each.
@@ -44,20 +46,39 @@ _CHUNKS = 3_000_000
 _HEADER = struct.Struct("<4sI6q")  # 56 bytes
 
 
-def grammar(ids: np.ndarray, base: int, end: int, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, base: int, end: int, per_round: int = ROUND_RULES, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rules, body): Re-Pair over ``ids``; symbol ``base + i`` stands for ``rules[i]``.
 
+    Rounds go on until no pair is used often enough to pay for its rule.  Where symbols of
+    two bytes run out, they go on with four bytes; the smaller result counts.
+    """
+    if base >= 1 << 16:
+        return _rounds(ids, [], base, end, 4, per_round, least)[:2]
+    rules, body, full = _rounds(ids, [], base, end, 2, per_round, least)
+    if full:
+        more, rest, _ = _rounds(body, [rules], base, end, 4, per_round, least)
+        if 4 * len(rest) + 12 * len(more) < 2 * len(body) + 8 * len(rules):
+            return more, rest
+    return rules, body
+
+
+def _rounds(seq: np.ndarray, rules: list[np.ndarray], base: int, end: int, width: int, per_round: int, least: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rules and body with symbols of ``width`` bytes, and whether these ran out.
+
     Each round replaces the most frequent pairs together.  Where pairs overlap, the
     left one goes first.
     """
-    narrow = base < 1 << 16
+    narrow = width == 2
+    least = least or LEAST_USES[width]
     room = (1 << 16) - 1 - base if narrow else (1 << 31) - base
     kind, shift, none = (np.uint32, np.uint32(16), np.uint32(0xFFFFFFFF)) if narrow else (np.uint64, np.uint64(32), np.uint64((1 << 64) - 1))
-    seq = ids.astype(kind)
-    rules = []
-    made = 0
-    for _ in range(rounds):
+    seq = seq.astype(kind)
+    rules = [r.astype(kind) for r in rules]
+    made = sum(map(len, rules))
+    full = False
+    while True:
         take = min(per_round, room - made)
+        full = take <= 0
         if len(seq) < 2 or take <= 0:
             break
         key = seq[:-1] << shift
@@ -98,7 +119,7 @@ def grammar(ids: np.ndarray, base: int, end: int, rounds: int = ROUNDS, per_roun
         seq = seq[keep]
         rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], axis=1))
         made += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), kind)), seq
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), kind)), seq, full
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -249,7 +270,9 @@ class LibraryCodec:
     The vocabulary's pattern drops white space and no piece crosses it, so a text's
     ids are those of its chunks (runs of bytes between ASCII white space) in order;
     white space beyond ASCII stays inside a chunk and is left to the library.  Chunks
-    are looked up by a 64-bit hash, a slice of documents at a time.
+    are looked up by a 64-bit hash, a slice of documents at a time, and their bytes are
+    compared with those remembered; rows with another chunk of the same hash are encoded
+    whole by the library.
     """
 
     def __init__(self, data: bytes, chunks: int = _CHUNKS):
@@ -258,10 +281,10 @@ class LibraryCodec:
         self.t = Tokenizer.from_str(data.decode())
         self.t.no_truncation()
         self.t.no_padding()
-        self.size = self.t.get_vocab_size(with_added_tokens=True)
+        self.vocab = self.t.get_vocab_size(with_added_tokens=True)
         self.mark = self.t.encode(_APART, add_special_tokens=False).ids[0]
         self.limit, self.bits = chunks, (2 * chunks).bit_length()
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
@@ -269,7 +292,11 @@ class LibraryCodec:
         self.start = np.zeros(1 << self.bits, np.int32)
         self.count = np.zeros(1 << self.bits, np.int32)
         self.pool = np.zeros(1 << 20, self.kind)
-        self.used = self.known = 0
+        # bytes of the chunks themselves, with room for a look at eight of them
+        self.spot = np.zeros(1 << self.bits, np.int64)
+        self.size = np.zeros(1 << self.bits, np.int64)
+        self.text = np.zeros(1 << 22, np.uint8)
+        self.used = self.known = self.filled = 0
 
     def ask(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, number of each): many a call, set apart by a piece of their own."""
@@ -293,13 +320,20 @@ class LibraryCodec:
             flat = np.concatenate(rows)
         return flat, count
 
-    def learn(self, h: np.ndarray, words: list[str]) -> None:
-        flat, count = self.ask(words)
+    def learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        flat, count = self.ask([w.decode() for w in words])
+        sizes = np.array([len(w) for w in words], np.int64)
+        need = self.filled + int(sizes.sum()) + 16
+        if need > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(max(need - len(self.text), len(self.text) // 2), np.uint8)])
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), self.kind)])
         at = self.slots.add(h)
         self.start[at] = self.used + np.cumsum(count) - count
         self.count[at] = count
+        self.spot[at], self.size[at] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.text[self.filled : self.filled + int(sizes.sum())] = np.frombuffer(b"".join(words), np.uint8)
+        self.filled += int(sizes.sum())
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.known += len(h)
@@ -324,7 +358,7 @@ class LibraryCodec:
                 if len(new) > self.limit:
                     self.bits = (2 * len(new)).bit_length()
                     self.clear()
-            self.learn(new, [text[a:b].decode() for a, b in zip(starts[spot].tolist(), ends[spot].tolist(), strict=True)])
+            self.learn(new, [text[a:b] for a, b in zip(starts[spot].tolist(), ends[spot].tolist(), strict=True)])
             at = self.slots.find(h)
         n = self.count[at]
         stop = np.cumsum(n, dtype=np.int64)
@@ -332,7 +366,16 @@ class LibraryCodec:
         # each chunk's place in the pool, counted on from where its ids go
         lag = self.start[at] - (stop - n)
         ids = self.pool[np.repeat(lag, n) + np.arange(total)]
-        return ids, np.diff(np.concatenate([[0], stop])[first])
+        per = np.diff(np.concatenate([[0], stop])[first])
+        same = ends - starts == self.size[at]
+        near = np.flatnonzero(same)
+        same[near] = same_spans(lanes(raw), starts[near], np.ndarray(len(self.text) - 8, "<u8", self.text, strides=(1,)), self.spot[at[near]], self.size[at[near]])
+        if same.all():
+            return ids, per
+        rows = np.split(ids, np.cumsum(per)[:-1])
+        for i in np.unique(np.searchsorted(first, np.flatnonzero(~same), side="right") - 1).tolist():
+            rows[i] = np.array(self.t.encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, self.kind)
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -355,7 +398,7 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, doc_id: str = "
     spark = df.sparkSession
     n = block_count(df, 8 << 20, least=4)
     data = ship(spark, vocab_path)
-    rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(whole_number(df, doc_id).alias("doc_id"), df[text].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         c = library(data.value)
@@ -368,7 +411,7 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, doc_id: str = "
         def close():
             nonlocal before, held, docs, pieces, sizes
             tokens = np.concatenate(sizes)
-            blob = pack(docs, tokens, np.concatenate(pieces), c.size, end)
+            blob = pack(docs, tokens, np.concatenate(pieces), c.vocab, end)
             total = int(tokens.sum())
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], names=["part", "before", "n_ids", "payload"])
             before += total
@@ -423,9 +466,4 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new folder below the session's shared checkpoint folder."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xylem-ckpt-"))
-    return f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
