@@ -305,6 +305,111 @@ def test_leaks(spark):
     assert dc.leaks(df, bench.filter("item_id < 0")).count() == 0
 
 
-def test_tables_reach_recall():
-    assert dc.tables_for(0.99) <= dc.WALKS * dc.TABLES
+def brute_leaks(rows, items):
+    """Every document against every item by the exact distance, words taken by Python's own rules."""
+    import regex
+
+    number = {}
+
+    def words(t):
+        return np.array([number.setdefault(w, len(number) + 1) for w in regex.findall(r"[\p{L}\p{N}\p{M}]+", (t or "").lower())], np.int64)
+
+    got = {}
+    for d, t in rows:
+        for i, u in items:
+            x, y = words(u), words(t)
+            if len(x) >= dc.LEAST_WORDS and (e := dc.passage_distance(x, y)[0]) <= dc.allowed(len(x)):
+                got[d, i] = e
+    return got
+
+
+def mangled(rng, words, edits, vocab):
+    w = list(words)
+    for _ in range(edits):
+        p = rng.randrange(len(w))
+        what = rng.random()
+        if what < 0.4:
+            w[p] = f"new{rng.randint(0, 999)}"
+        elif what < 0.7:
+            del w[p]
+        else:
+            w.insert(p, rng.choice(vocab))
+    return w
+
+
+def test_leaks_against_brute_force(spark):
+    """The whole set: nothing but leaks, and at least the recall asked for at each share of edits."""
+    rng = random.Random(19)
+    vocab = [f"v{i}" for i in range(600)] + ["Élan", "naïve", "ÄÖ"]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([5, 7, 10, 15, 22, 35, 60])))) for i in range(40)]
+    rows = []
+    for n in range(240):
+        t = rng.choice(items)[1].split()
+        w = mangled(rng, t, rng.randint(0, dc.allowed(len(t)) + 2), vocab)
+        rows.append((n, "; ".join(rng.choices(vocab, k=rng.randint(0, 30)) + [x.upper() for x in w] + rng.choices(vocab, k=rng.randint(0, 30)))))
+    rows += [(1000, None), (1001, ""), (1002, items[0][1]), (1002, items[0][1])]
+    want = brute_leaks(rows, items)
+    found = dc.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in found}
+    assert len(found) == len(got) + 1  # the repeated row has its row each
+    assert all(want[k] <= d for k, d in got.items())
+    for part in (0.0, 0.5, 1.0):
+        some = [k for k, e in want.items() if abs(e / max(1, dc.allowed(len(dict(items)[k[1]].split()))) - part) < 0.26]
+        assert sum(k in got for k in some) >= (1 if part == 0.0 else 0.97) * len(some)
+    assert len(want) > 150
+
+
+@pytest.mark.parametrize("recall", [0.6, 0.9, 0.99])
+def test_recall_follows_the_parameter(recall):
+    """Items with all edits that are allowed."""
+    rng = random.Random(23)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [rng.choices(vocab, k=n) for n in (5, 10, 15, 25, 40, 60) for _ in range(40)]
+    known = dc.Items(list(range(len(items))), [" ".join(w) for w in items], recall=recall)
+    docs = [" ".join(rng.choices(vocab, k=15) + mangled(rng, w, dc.allowed(len(w)), vocab) + rng.choices(vocab, k=15)) for w in items]
+    found = {(r[0], r[1]) for r in dc.find_leaks(known, *string_buffers(pa.array(docs)))}
+    assert sum((i, i) in found for i in range(len(items))) >= (recall - 0.02) * len(items)
+
+
+def test_leaks_of_twin_words():
+    pairs = [tuple(f"{a}{c}" for a in thue_morse(10)) for c in "abcde"]
+    known = dc.Items([1], [" ".join(x for x, _ in pairs)])
+    docs = [" ".join(y for _, y in pairs), " ".join(x for x, _ in pairs)]
+    assert [r[0] for r in dc.find_leaks(known, *string_buffers(pa.array(docs)))] == [1]
+
+
+def test_leaks_in_scripts_without_blanks():
+    known = dc.Items([None, 2], ["東京は日本の首都です。", "one two three four five"])
+    docs = ["昨日、東京は日本の首都です、と言った", "京は日本の首都だ", "“One–Two”… THREE—four, FIVE", "東 京 は"]
+    assert [(r[0], r[1]) for r in dc.find_leaks(known, *string_buffers(pa.array(docs)))] == [(0, 0), (2, 1)]
+
+
+def test_long_items_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(29)
+    vocab = [f"v{i}" for i in range(3000)]
+    long = rng.choices(vocab, k=3000)
+    tracemalloc.start()
+    known = dc.Items(list(range(501)), [" ".join(rng.choices(vocab, k=30)) for _ in range(500)] + [" ".join(long)])
+    doc = " ".join(rng.choices(vocab, k=100) + mangled(rng, long, 300, vocab))
+    found = dc.find_leaks(known, *string_buffers(pa.array([doc])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[1] for r in found] == [500]
+    assert peak < 150 << 20
+
+
+def test_empty_items(spark):
+    df = frame(spark, [(1, "one two three four five"), (2, None)])
+    items = spark.createDataFrame([(None, "One two, three four five"), (3, None), (4, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in dc.leaks(df, items).collect()] == [(1, None)]
+    assert [r.doc_id for r in dc.drop_leaks(df, items).collect()] == [2]
+    assert dc.drop_leaks(df, items.limit(0)).count() == 2
+    assert dc.leaks(df.limit(0), items).count() == 0
+    with pytest.raises(TypeError):
+        dc.leaks(df.select(df.doc_id.cast("string"), "text"), items)
+
+
+def test_string_buffers_of_nulls():
     assert string_buffers(pa.array([None, "a"]))[1].tolist() == [0, 0, 1]
