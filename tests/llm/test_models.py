@@ -1,8 +1,15 @@
 """Exact search, classifiers, WARC derivatives and the pipeline."""
 
+import base64
 import gzip
+import hashlib
+import os
 import random
+import time
+import uuid
 import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -117,6 +124,110 @@ def test_records():
     assert warc.derive([("WARC-Type", "request"), ("WARC-Record-ID", "x")], b"") == []
 
 
+@pytest.mark.parametrize("bit", ["<script>", "<title>", "<a ", "<a href='", '<a href="x>', "<!--", "<!-- -->", "</script   ", "<p", "<title>x</title>", "<", "<script></script >", "href = ", "&"])
+@pytest.mark.parametrize("tail", ["", ">"])
+def test_hostile_pages_take_linear_time(bit, tail):
+    def seconds(n):
+        page = bit * n + tail
+        began = time.perf_counter()
+        warc.plain_text(page), warc.title_of(page), list(warc.links_of(page))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(60_000) < 2.0
+
+
+def test_pages_that_do_not_close():
+    assert warc.plain_text("a<script>b <script>c</script>d") == "a d"
+    assert warc.plain_text("a<style>b <!-- c") == "ab"
+    assert warc.plain_text("a < b <i") == "a < b <i"
+    assert warc.title_of("<title>a <title>b</title>c") == "a <title>b"
+    assert warc.title_of("<title>a") is None
+    assert list(warc.links_of("<a href=x><a href='y z'><a name=q><a href=\"b>c\"><A HREF = 'd><a href=e>")) == ["x", "y z", "b>c", "d", "e"]
+
+
+def test_archives_are_read_piece_by_piece(monkeypatch):
+    made = [warc.response_record(str(i), "http://h/", "x" * (i * 37 % 301)) for i in range(40)]
+    want = [r for m in made for r in warc.read_records(m)]
+    assert len(want) == 40
+    for piece in (1, 7, 64, 1000):
+        monkeypatch.setattr(warc, "_PIECE", piece)
+        assert list(warc.read_records(b"".join(made))) == want
+        assert list(warc.read_records(b"".join(gzip.compress(m) for m in made) + b"\0\0")) == want
+        for broken in (b"".join(made)[:-30], gzip.compress(made[0])[:-12], made[0] + b" junk", made[0] + gzip.compress(made[1])):
+            with pytest.raises((ValueError, zlib.error)):
+                list(warc.read_records(broken))
+
+
+class Twin(HTMLParser):
+    """The text of well-formed pages by the standard library's parser."""
+
+    blocks = warc._BLOCKS
+    opaque = {"script", "style", "template", "noscript"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.depth, self.links, self.title, self.inside = [""], 0, [], None, False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.opaque
+        if tag in self.opaque:
+            self.lines[-1] += " "
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"].strip())
+        self.inside |= tag == "title"
+        if tag in self.blocks:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in self.opaque
+        self.inside &= tag != "title"
+        if tag in self.blocks:
+            self.lines.append("")
+
+    def handle_comment(self, data):
+        self.lines[-1] += " "
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title = " ".join(((self.title or "") + data).split())
+        if not self.depth:
+            self.lines[-1] += data
+
+
+def test_derivatives_of_the_pages_have_a_twin(spark):
+    sf = os.environ.get("XYLEM_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    from xylem.llm.queries import op5_warc
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = {(r.page_id, r.warc_type): r for r in op5_warc(spark, sf).collect()}
+    assert set(rows) == {(i, t) for i in pages for t in ("metadata", "conversion")}
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for i, p in pages.items():
+        twin, payload = Twin(p.html), p.html.encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response|{i}|{p.url}')}>"
+        conv, meta = rows[i, "conversion"], rows[i, "metadata"]
+        assert conv.body == "\n".join(s for line in twin.lines if (s := " ".join(line.split())))
+        fields = meta.body.split("\r\n")
+        assert f"title: {twin.title}" in fields
+        assert [f.split(" ")[1] for f in fields if f.startswith("outlink: ")] == [urljoin(p.url, x) for x in twin.links]
+        for r in (conv, meta):
+            assert (r.refers_to, r.target_uri, r.content_length) == (source, p.url, len(r.body.encode()))
+            assert (r.block_digest, r.source_block_digest, r.source_payload_digest) == (sha(r.body.encode()), sha(block), sha(payload))
+            assert r.record_id == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r.warc_type}|{source}')}>"
+
+
+def test_derivatives_of_nothing(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    out = warc.derivatives(warc.pages_to_responses(none))
+    assert out.count() == 0 and warc.record_bytes(out).count() == 0
+
+
 def test_derivatives(spark):
     df = spark.createDataFrame([(1, "http://h/", PAGE), (2, None, None), (3, "http://h/é", "")], "page_id long, url string, html string")
     out = warc.derivatives(warc.pages_to_responses(df))

@@ -14,20 +14,24 @@ import html
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, trim, whole_number
 
 DATE = "1970-01-01T00:00:00Z"
 _CRLF = b"\r\n"
-_RAW = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*", re.S | re.I)
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_OPAQUE = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "noscript", "title")}
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>|<[!?/][^>]*+>")
+_TITLE = re.compile(r"<title\b[^>]*+>", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*+=\s*+", re.I)
+_BARE = re.compile(r"[^\s>]+")
 #: Elements that begin a new line of text.
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul body head html".split())
 
@@ -51,44 +55,102 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + _CRLF + block + _CRLF + _CRLF
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip stream, or the data itself."""
+#: Inflated bytes asked for at a time.
+_PIECE = 1 << 20
+
+
+def inflate(data: bytes) -> Iterator[bytes]:
+    """All members of a gzip stream, or the data itself, piece by piece."""
+    view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+        while at < len(data):
+            yield bytes(view[at : at + _PIECE])
+            at += _PIECE
+        return
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
-
-
-def read_records(data: bytes):
-    """(headers, block) of each record; a truncated or foreign rest raises ValueError."""
-    data, at = inflate(data), 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            if not data[at:].strip():
-                return
-            raise ValueError(f"no record at byte {at}")
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"headers at byte {at} have no end")
+        while not d.eof:
+            part = d.unconsumed_tail
+            if not part:
+                part = view[at : at + _PIECE]
+                at += len(part)
+                if not len(part):
+                    raise ValueError("a gzip member is cut off")
+            yield d.decompress(part, _PIECE)
+        at -= len(d.unused_data)
+
+
+class _Feed:
+    """A byte stream of which no more than the record at hand is held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at, self.gone = pieces, bytearray(), 0, 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        if self.at > _PIECE:
+            self.gone += self.at
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
+        return True
+
+    def want(self, n: int) -> bool:
+        """True if ``n`` bytes are there."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, what: bytes) -> int:
+        """Bytes before ``what``; -1 if it does not come."""
+        seen = 0
+        while (hit := self.held.find(what, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(what) + 1)
+            if not self.more():
+                return -1
+        return hit - self.at
+
+    def take(self, n: int) -> bytes:
+        out = bytes(memoryview(self.held)[self.at : self.at + n])
+        self.at += n
+        return out
+
+
+def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each record; a truncated or foreign rest raises ValueError.
+
+    Archives are inflated as they are read: a record at a time is in memory.
+    """
+    feed = _Feed(inflate(data))
+    while feed.want(1):
+        here = feed.gone + feed.at
+        if not feed.want(5) or feed.held[feed.at : feed.at + 5] != b"WARC/":
+            while not feed.take(len(feed.held) - feed.at).strip():
+                if not feed.more():
+                    return
+            raise ValueError(f"no record at byte {here}")
+        size = feed.find(b"\r\n\r\n")
+        if size < 0:
+            raise ValueError(f"headers at byte {here} have no end")
         headers: list[tuple[str, str]] = []
-        for line in data[at:end].split(_CRLF)[1:]:
+        for line in feed.take(size).split(_CRLF)[1:]:
             text = line.decode("utf-8", "replace")
-            if text[:1] in " \t" and headers:
+            if text[:1] in (" ", "\t") and headers:
                 headers[-1] = (headers[-1][0], f"{headers[-1][1]} {text.strip()}")
             else:
                 k, _, v = text.partition(":")
                 headers.append((k.strip(), v.strip()))
-        size = next((int(v) for k, v in headers if k.lower() == "content-length"), None)
-        if size is None or end + 4 + size > len(data):
-            raise ValueError(f"block at byte {end + 4} is cut off")
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data.startswith(_CRLF, at):
-            at += 2
+        feed.take(4)
+        here += size + 4
+        length = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if not length.isdecimal() or not feed.want(int(length)):
+            raise ValueError(f"block at byte {here} is cut off")
+        yield headers, feed.take(int(length))
+        while feed.want(2) and feed.held[feed.at : feed.at + 2] == _CRLF:
+            feed.take(2)
 
 
 def response_record(key: str, url: str | None, body: str | None, date: str = DATE) -> bytes:
@@ -101,11 +163,37 @@ def response_record(key: str, url: str | None, body: str | None, date: str = DAT
     return write_record([*headers, ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
+def visible(page: str) -> str:
+    """The page without comments and the content of scripts and the like: a blank for each.
+
+    A comment that does not end takes the rest; an opaque element that does not is a tag.
+    One look ahead for each kind that never closes, so the time is linear.
+    """
+    out, at, look = [], 0, 0
+    endless: set[str] = set()
+    while (m := _OPAQUE.search(page, look)) is not None:
+        name = (m[1] or "").lower()
+        if not name:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            close = None if name in endless else _CLOSE[name].search(page, m.end())
+            if close is None:
+                endless.add(name)
+                look = m.end()
+                continue
+            end = close.end()
+        out += [page[at : m.start()], " "]
+        at = look = end
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Text of a page: no markup, scripts or comments; one line a block, blanks collapsed."""
     bits, at = [], 0
-    page = _RAW.sub(" ", page)
-    for m in _TAG.finditer(page):
+    page = visible(page)
+    # behind the last > no tag ends: nothing is looked for there
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
         bits.append(page[at : m.start()])
         at = m.end()
         name = m[1]
@@ -118,6 +206,37 @@ def plain_text(page: str) -> str:
     return "\n".join([s for line in text.split("\x00") if (s := " ".join(line.split()))])
 
 
+def title_of(page: str) -> str | None:
+    """Content of the first title element, blanks collapsed."""
+    m = _TITLE.search(page, 0, page.rfind(">") + 1)
+    close = _CLOSE["title"].search(page, m.end()) if m else None
+    return " ".join(html.unescape(page[m.end() : close.start()]).split()) if close else None
+
+
+def links_of(page: str) -> Iterator[str]:
+    """Targets of the page's ``a`` elements, in order."""
+    at, last = 0, page.rfind(">") + 1
+    unpaired: set[str] = set()  # quotes that do not come again
+    while (m := _ANCHOR.search(page, at, last)) is not None:
+        stop = page.find(">", m.end())
+        href = _HREF.search(page, m.end(), stop)
+        if href is None:
+            at = stop + 1
+            continue
+        quote, begin = page[href.end() : href.end() + 1], href.end() + 1
+        close = page.find(quote, begin) if quote in ("'", '"') and quote not in unpaired else -1
+        if close >= 0:
+            yield html.unescape(page[begin:close]).strip()
+            at = close + 1
+            continue
+        if quote in ("'", '"'):
+            unpaired.add(quote)
+        bare = _BARE.match(page, href.end())
+        if bare is not None:
+            yield html.unescape(bare[0].strip("\"'")).strip()
+        at = max(stop, bare.end() if bare else 0)
+
+
 def _message(block: bytes, kind: str) -> tuple[str, list[str], bytes]:
     """(status line, header lines, payload) of an HTTP message, or of a bare payload."""
     if "application/http" not in kind:
@@ -142,16 +261,15 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     linked = [("WARC-Refers-To", source), ("WARC-Refers-To-Date", date)]
     if target is not None:
         linked = [("WARC-Target-URI", target), *linked, ("WARC-Refers-To-Target-URI", target)]
-    title = _TITLE.search(page)
+    title = title_of(page)
     fields = [f"source-header: {k}: {v}" for k, v in headers]
     fields += [f"http-status: {status}"] if status else []
     fields += [f"http-header: {x}" for x in lines]
     fields.append(f"source-block-digest: {h.get('warc-block-digest') or digest(block)}")
     fields.append(f"source-payload-digest: {h.get('warc-payload-digest') or digest(payload)}")
-    if title:
-        fields.append(f"title: {' '.join(html.unescape(title[1]).split())}")
-    for m in _LINK.finditer(page):
-        link = html.unescape(m[1].strip("\"'")).strip()
+    if title is not None:
+        fields.append(f"title: {title}")
+    for link in links_of(page):
         try:
             fields.append(f"outlink: {urljoin(target or '', link)} a/@href")
         except ValueError:
@@ -163,8 +281,12 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
 
 
 def pages_to_responses(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(key, warc): one response record for each page row; null bodies are empty."""
-    source = ready(df).select(df[key].cast("long").alias("key"), df[url].alias("url"), df[body].alias("body"))
+    """(key, warc): one response record for each page row.
+
+    Null bodies are empty, null addresses left out; null keys and repeated rows give their
+    records too.  An empty table gives an empty one.
+    """
+    source = ready(df).select(whole_number(df, key).alias("key"), df[url].alias("url"), df[body].alias("body"))
 
     def run(batches):
         for b in batches:
@@ -186,7 +308,7 @@ def derivatives(df: DataFrame, key: str = "key", warc: str = "warc", with_body:
     One narrow pass.
     """
     names = [f.split()[0] for f in _FIELDS.split(", ")]
-    source = ready(df).select(df[key].cast("long").alias("key"), df[warc].alias("warc"))
+    source = ready(df).select(whole_number(df, key).alias("key"), df[warc].alias("warc"))
 
     def rows(k, data):
         try:
@@ -204,19 +326,32 @@ def derivatives(df: DataFrame, key: str = "key", warc: str = "warc", with_body:
 
     kinds = {"key": pa.int64(), "content_length": pa.int64()}
 
+    def batch_of(got: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, zip(*got, strict=True), strict=True)], names=names)
+
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), 200):
-                part = b.slice(i, 200)
-                got = [r for k, d in zip(part.column("key").to_pylist(), part.column("warc").to_pylist(), strict=True) for r in rows(k, d)]
-                cols = list(zip(*got, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, cols, strict=True)], names=names)
+            keys, cells, got, size = b.column("key"), b.column("warc"), [], 0
+            for i in range(len(b)):
+                # rows are handed on by the megabytes they hold, within an archive too
+                for r in rows(keys[i].as_py(), cells[i].as_py()):
+                    got.append(r)
+                    size += len(r[-2] or "")
+                    if size > _PIECE or len(got) >= 400:
+                        yield batch_of(got)
+                        got, size = [], 0
+            if got:
+                yield batch_of(got)
+        trim()
 
     return source.mapInArrow(run, _FIELDS)
 
 
 def record_bytes(df: DataFrame) -> DataFrame:
-    """Derivative rows as WARC bytes: (key, warc_type, warc), ready for a file writer."""
+    """Derivative rows as WARC bytes: (key, warc_type, warc), ready for a file writer.
+
+    Rows with an ``error`` write nothing; a null body is an empty block.
+    """
     source = ready(df).filter(F.col("error").isNull())
 
     def run(batches):
