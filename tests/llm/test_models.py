@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 import time
 import uuid
 import zlib
+from fractions import Fraction
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -19,13 +21,18 @@ from xylem.llm.kdtree import Tree, exact_topk, search
 from xylem.llm.labelled import training_sample
 
 
+def whole(x):
+    """floor(64 x) of the double, exactly."""
+    return math.floor(Fraction(64) * Fraction(x))
+
+
 def brute(rows, queries, k):
     out = []
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in queries:
-        if q in good:
-            scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    good = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for q, x in good:
+        if queries(q):
+            scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in good if i != q and len(v) == len(x))
+            out += [(q, r + 1, i, max(-(2**63 - 1), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -33,13 +40,35 @@ def brute(rows, queries, k):
 def test_topk(spark, shard):
     rng = random.Random(1)
     rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(120)]
-    rows += [(200, [0.1, None, 0.2]), (201, None), (202, [float("nan")] * 3), (203, [float("inf")] * 3), (204, rows[4][1]), (205, rows[4][1]), (220, [0.5, 0.5]), (221, [0.1, 0.1])]
+    rows += [(200, [0.1, None, 0.2]), (201, None), (202, [float("nan")] * 3), (203, [float("inf")] * 3), (204, rows[4][1]), (205, rows[4][1]), (220, [0.5, 0.5]), (221, [0.1, 0.1]), (240, []), (241, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = exact_topk(df, df.filter("vec_id % 20 = 0"), k=7, shard=shard, block=4).collect()
-    assert sorted(tuple(r) for r in got) == brute(rows, [i for i, _ in rows if i % 20 == 0], 7)
+    assert sorted(tuple(r) for r in got) == brute(rows, lambda i: i % 20 == 0, 7)
     assert exact_topk(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2, 1000])
+def test_topk_of_repeated_ids(spark, shard):
+    """Each row of a query id is a query; candidates of an id count once for each row."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.25, 0.5]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk(df, df.filter("vec_id % 20 = 0"), k=2, shard=shard, block=1).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, lambda i: i == 0, 2)
+    assert [tuple(r) for r in exact_topk(df.limit(1), df.limit(1)).collect()] == []
+
+
+@pytest.mark.parametrize("top", [30.0, 1e6, 1e9, 1e18, 1e300])
+def test_topk_of_large_components(spark, top):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-top, top) for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk(df, df.filter("vec_id % 20 = 0"), k=40, shard=1000).collect()
+    want = brute(rows, lambda i: i % 20 == 0, 40)
+    assert sorted(r.score for r in got) == sorted(w[3] for w in want)
+    if top < 1e9:
+        assert sorted(tuple(r) for r in got) == want
+
+
 def test_tree_keeps_all_ties():
     ids, v = np.arange(400), np.tile([[1, 2], [2, 1]], (200, 1))
     row, name, score = search(Tree(ids, v, leaf=8), np.array([0]), np.array([[1, 1]]), 5, np.array([-(2**62)]))
@@ -92,6 +121,22 @@ def test_sample_is_bounded_and_spares_the_held_out(spark):
     assert not any(zlib.crc32(t.encode()) % 5 == 0 for t in texts)
     assert sum(weight) == pytest.approx(40)
     assert training_sample(marked, labels.filter("doc_id < 0"), "y", 5) == ([], [], [])
+    # an id on many rows counts once, the bytes are bounded, and the order of rows is nothing to it
+    many = marked.union(marked.selectExpr("doc_id", "concat(text, 'x') as text")).repartition(3)
+    assert training_sample(many, labels, "y", 20) == (texts, y, weight)
+    few = training_sample(marked, labels, "y", 20, class_bytes=12)
+    assert 0 < len(few[0]) < 20 and set(few[0]) <= set(texts)
+
+
+def test_scores_of_nothing(spark):
+    docs, labels, _ = labelled(spark, 60, ["nasty"], ["nice"])
+    w, b = toxicity.fit_toxicity(docs, labels.limit(0), "y")
+    clash = docs.selectExpr("doc_id", "text", "'x' as score", "1 as offending")
+    assert all(0 <= r.score <= 1 and r.offending == [] for r in toxicity.score_toxicity(clash, w, b).collect())
+    assert toxicity.score_toxicity(docs.limit(0), w, b).count() == 0
+    table, bias = quality.fit_quality(docs.limit(0), labels, "y")
+    assert {r.score for r in quality.score_quality(clash, table, bias).collect()} == {0.5}
+    assert quality.score_quality(docs.limit(0), table, bias).count() == 0
 
 
 PAGE = "<html><head><title>A &amp; B</title><style>x{}</style><script>var a='</p>';</script></head><body><!-- no --><p>One<br>two</p><div>three &nbsp; four <a href='/x?a=1&amp;b=2'>link</a></div></body></html>"

@@ -105,7 +105,8 @@ def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS
 def score_quality(df: DataFrame, table: np.ndarray, bias: float, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``score``: the softmax probability of the good class, from the whole text.
 
-    A null or empty text has no features and scores by the bias alone.
+    A null or empty text has no features and scores by the bias alone.  Every row gives
+    one row; an input column named ``score`` gives way.
     """
     kept = within(df, ["score"], keep)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("score", T.DoubleType())])
@@ -127,5 +128,9 @@ def score_quality(df: DataFrame, table: np.ndarray, bias: float, text: str = "te
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``per_class`` labelled ids of each class outside the held-out fifth."""
+    """Fit on at most ``per_class`` labelled ids of each class outside the held-out fifth.
+
+    Without labels or documents the model knows nothing and scores a half; see
+    ``training_sample`` for nulls and repeats.
+    """
     return fit(*training_sample(docs, labels, label, per_class))

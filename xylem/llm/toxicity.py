@@ -18,8 +18,9 @@ from .labelled import training_sample
 
 #: Hash buckets, labelled ids used of each class, and passes over them.
 BUCKETS_LOG2, PER_CLASS, EPOCHS = 18, 4000, 50
-#: Labelled documents that must hold a feature for it to get a weight.
-LEAST_DOCS = 10
+#: Labelled documents that must hold a feature for it to get a weight: one in so many toxic
+#: ones, within these bounds.
+LEAST_SHARE, LEAST_DOCS = 40, (2, 10)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -86,7 +87,7 @@ class Sentences:
         return -np.expm1(-np.bincount(self.row, np.logaddexp(0, z), self.rows))
 
 
-def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS_LOG2, epochs: int = EPOCHS, batch: int = 125, rate: float = 1.0, sparse: float = 1e-4, least: int = LEAST_DOCS) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS_LOG2, epochs: int = EPOCHS, batch: int = 125, rate: float = 1.0, sparse: float = 1e-4, least: int | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias by adaptive-gradient steps on the document loss."""
     size = 1 << bits
     w, b = np.zeros(size), -4.0
@@ -101,6 +102,8 @@ def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS
     held = np.zeros(size, np.int64)
     for s, _, _ in parts:
         held += s.holders(size)
+    if least is None:
+        least = min(max(sum(y) // LEAST_SHARE, LEAST_DOCS[0]), LEAST_DOCS[1])
     used = held >= least
     for _ in range(epochs):
         for s, label, cost in parts:
@@ -124,7 +127,8 @@ def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str =
     """Add ``score`` (noisy-or over the whole text) and ``offending``.
 
     ``offending`` lists (start, end, score) of the sentences at or above ``threshold``,
-    as byte places in the UTF-8 text.  A null, empty or wordless text scores zero.
+    as byte places in the UTF-8 text.  A null, empty or wordless text scores zero.  Every
+    row gives one row; an input column named like a result gives way.
     """
     names = ["score"] + ["offending"] * sentences
     kept = within(df, names, keep)
@@ -159,5 +163,9 @@ def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str =
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``per_class`` labelled ids of each class outside the held-out fifth."""
+    """Fit on at most ``per_class`` labelled ids of each class outside the held-out fifth.
+
+    Without a label of a class, or without documents, nothing is ever toxic or all is as
+    likely as the prior says; see ``training_sample`` for nulls and repeats.
+    """
     return fit(*training_sample(docs, labels, label, per_class))
