@@ -34,7 +34,7 @@ BROADCAST = 1 << 19
 _PAIRS = 1 << 18
 _EPS = 1e-9
 #: Bits of a set's parity.
-_BITS = 2048
+_BITS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
