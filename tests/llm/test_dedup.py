@@ -10,7 +10,7 @@ import xxhash
 from xylem.llm import decontaminate as dc
 from xylem.llm.common import span_hashes, span_ids, string_buffers, word_bounds
 from xylem.llm.components import components
-from xylem.llm.jaccard import may_be_similar, one_of_each, parity, similar_documents
+from xylem.llm.jaccard import folded, may_be_similar, one_of_each, parity, similar_documents
 from xylem.llm.rlz import Reference, Windows, factorise, substring_dedup
 from xylem.llm.simhash import forest, hamming_links, near_duplicates
 
@@ -233,9 +233,10 @@ def test_parities_lose_nothing():
     for n, m, k in [(0, 0, 0), (1, 1, 0), (300, 300, 250), (255, 520, 200), (2000, 90, 90)]:
         h = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
         x, y = h[:n], np.concatenate([h[:k], h[n : n + m - k]])
-        p, q = (np.frombuffer(parity(s), np.uint64)[None] for s in (x, y))
         alike = len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y)))
-        assert may_be_similar(p, q, np.array([len(x) + len(y)]), alike)[0]
+        for size in (64, min(len(parity(x)), len(parity(y)))):
+            p, q = (folded(parity(s), size)[None] for s in (x, y))
+            assert may_be_similar(p, q, np.array([len(x) + len(y)]), alike)[0]
 
 
 def test_one_of_each_loses_no_text(spark):

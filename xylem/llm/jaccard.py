@@ -33,7 +33,7 @@ BROADCAST = 1 << 19
 #: Pairs gathered before they are handed on.
 _PAIRS = 1 << 18
 _EPS = 1e-9
-#: Bits of a set's parity.
+#: Bits of the parity that rows of a key carry; the full one has four or more an element.
 _BITS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,8 +80,17 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(s: np.ndarray) -> bytes:
     """A bit for each residue of the hashes: whether an odd number of them falls there."""
-    odd = np.bincount((s & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    width = max(_BITS, 1 << max(4 * len(s) - 1, 0).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A parity of fewer bits (``size`` bytes): widths are powers of two, so halves add up."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -94,27 +103,34 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity:
 
 
 def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_sha256, digest, sid, n, bits): each text's set by its digest, the digest's first eight bytes, size and parity."""
+    """(doc_id, text_sha256, digest, sid, n, bits, few): each text's set.
+
+    Its digest, the digest's first eight bytes, size, parity, and parity of fewer bits.
+    """
 
     def run(batches):
         for batch in batches:
             sets = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), parity(s)) for s in shingle_sets(batch.column("text"), size)]
             sid = np.frombuffer(b"".join(s[0] for s in sets), np.int64)[::2]
             digest, n, bits = (pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.binary())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), digest, pa.array(sid), n, bits], names=["doc_id", "text_sha256", "digest", "sid", "n", "bits"])
+            few = pa.array([folded(s[2], _BITS // 8).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), digest, pa.array(sid), n, bits, few], names=["doc_id", "text_sha256", "digest", "sid", "n", "bits", "few"])
         trim()
 
-    return ready(docs).mapInArrow(run, "doc_id long, text_sha256 string, digest binary, sid long, n int, bits binary")
+    return ready(docs).mapInArrow(run, "doc_id long, text_sha256 string, digest binary, sid long, n int, bits binary, few binary")
 
 
 def _heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(key, sid, n, pos): a row for each of a set's first shingles, its size and the place."""
+    """(key, sid, n, pos, share): a row for each of a set's first shingles, its size and the place.
+
+    ``share``: how many of 1000 of its first shingles were met among the texts that order them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
     def run(batches):
         known, often = shared.value
         for batch in batches:
-            sid, n, head = [], [], [np.zeros(0, np.uint64)]
+            sid, n, share, head = [], [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets(batch.column("text"), size):
                 if not len(s):
                     continue
@@ -124,15 +140,17 @@ def _heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                     seen = np.where(known[at] == s, often[at], 0)
                 sid.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
                 n.append(len(s))
-                head.append(s[np.argsort(seen, kind="stable")[: len(s) - int(least_overlap(similarity, len(s))) + 1]])
+                first = np.argsort(seen, kind="stable")[: len(s) - int(least_overlap(similarity, len(s))) + 1]
+                head.append(s[first])
+                share.append(1000 * int((seen[first] > 0).sum()) // len(first))
             many = np.array([len(h) for h in head[1:]], np.int64)
             key = np.concatenate(head).view(np.int64)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
-            cols = [key, np.repeat(np.array(sid, np.int64), many), np.repeat(np.array(n, np.int32), many), pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "n", "pos"])
+            cols = [key, np.repeat(np.array(sid, np.int64), many), np.repeat(np.array(n, np.int32), many), pos.astype(np.int32), np.repeat(np.array(share, np.int32), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "n", "pos", "share"])
         trim()
 
-    return ready(docs.select("text")).mapInArrow(run, "key long, sid long, n int, pos int")
+    return ready(docs.select("text")).mapInArrow(run, "key long, sid long, n int, pos int, share int")
 
 
 def _words(col: pa.Array) -> np.ndarray:
@@ -208,28 +226,34 @@ def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
     return ready(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
-def _stars(held: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b): each key's sets with its most central one, as far as parities allow."""
-    # how much of a set's head others have too
-    share = held.groupBy("sid").agg((F.count("*") / F.first("n")).alias("share"))
-    central = held.join(share, "sid").groupBy("key").agg(F.max(F.struct("share", "sid", "n")).alias("low"))
+def _stars(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): each key's sets with its most central one, of sizes that allow it."""
     near = F.least("n", "low.n") >= similarity * F.greatest("n", "low.n") - _EPS
-    stars = held.join(central, "key").filter(F.col("sid") != F.col("low.sid")).filter(near).select(F.col("low.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    return held.filter(F.col("sid") != F.col("low.sid")).filter(near).select(F.col("low.sid").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def _possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that full parities allow."""
     sketch = distinct.select("sid", "n", "bits")
-    pairs = stars.join(sketch.toDF("a", "n_a", "bits_a"), "a").join(sketch.toDF("b", "n_b", "bits_b"), "b")
+    pairs = pairs.join(sketch.toDF("a", "n_a", "bits_a"), "a").join(sketch.toDF("b", "n_b", "bits_b"), "b")
 
-    def possible(batches):
+    def run(batches):
         for batch in batches:
             size = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(_words(batch.column("bits_a")), _words(batch.column("bits_b")), size, similarity)))
+            ok = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+                least = min(len(x), len(y))
+                ok[i] = may_be_similar(folded(x, least)[None], folded(y, least)[None], size[i : i + 1], similarity)[0]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
         trim()
 
-    return ready(pairs).mapInArrow(possible, "a long, b long").distinct()
+    # repeated names of a set (sid) give a pair more than once
+    return ready(pairs).mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets that reach the similarity."""
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(_possible(pairs, distinct, similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     known = checkpoint(distinct.join(wanted, "sid").select("sid", "digest", "rep"))
     few = F.broadcast if known.count() <= BROADCAST else (lambda d: d)
@@ -272,14 +296,14 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ident = whole_number(df, doc_id)
     docs = df.select(ident.alias("doc_id"), df[text].alias("text"), F.sha2(F.coalesce(df[text], F.lit("")), 256).alias("text_sha256"))
     known = checkpoint(_digests(docs, size))
-    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits", "few")]))
     rows = _heads(docs.filter("doc_id is not null"), size, similarity).repartition("key").dropDuplicates(["key", "sid"])
-    held = checkpoint(rows.withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1"))
-    edges = _similar(docs, distinct, _stars(held, distinct, similarity), size, similarity)
+    every = Window.partitionBy("key")
+    held = checkpoint(rows.withColumn("met", F.count("*").over(every)).withColumn("low", F.max(F.struct("share", "sid", "n")).over(every)).filter("met > 1").drop("share"))
+    edges = _similar(docs, distinct, _stars(held, similarity), size, similarity)
     comp = components(edges)
-    c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), "bits")
-    open_keys = held.join(c.drop("bits"), "sid").groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
-    rest = _apart(held.join(open_keys, "key", "left_semi").join(c, "sid"), similarity, chunk)
+    c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("few").alias("bits"))
+    rest = _apart(held.drop("low").join(c, "sid"), similarity, chunk)
     comp = components(edges.union(_similar(docs, distinct, rest, size, similarity)))
     sets = distinct.join(comp, distinct.sid == comp.node, "left").select("digest", "rep", F.coalesce("component", "sid").alias("c"))
     # a component is named by its least id
