@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from xylem.functions import encoding, text
 
@@ -80,7 +81,7 @@ def test_qnames(spark, name, pre, local):
         ("<?xml version='1.0'?>é".encode("utf-16-be"), "UTF-16BE", "<?xml version='1.0'?>é"),
         (b"\xff\xfe" + "<é/>".encode("utf-16-le"), "UTF-16LE", "<é/>"),
         ("<?xml version='1.0' encoding='windows-1251'?>При".encode("cp1251"), "windows-1251", "<?xml version='1.0' encoding='windows-1251'?>При"),
-        ("<?xml version='1.0' encoding='koi8-r'?>При".encode("koi8-r"), "koi8-r", "<?xml version='1.0' encoding='koi8-r'?>При"),
+        ("<?xml version='1.0' encoding='koi8-r'?>При".encode("koi8-r"), "KOI8-R", "<?xml version='1.0' encoding='koi8-r'?>При"),
         ("é".encode(), "UTF-8", "é"),
         (b"", "UTF-8", ""),
     ],
@@ -100,3 +101,35 @@ def test_escape_round_trip(spark, raw):
     raw = raw.encode("utf-8", "ignore").decode()
     r = spark.createDataFrame([(raw,)], "c string").select(text.unescape(text.escape(F.col("c"))).alias("a"), text.unescape(text.list_escape(F.col("c"))).alias("b")).first()
     assert (r.a, r.b) == (raw, raw)
+
+
+def test_labels_are_charsets(spark):
+    """Every label's charset is one that Java has, and decodes ASCII."""
+    known = sorted(set(encoding.labels().values()))
+    bits = {c: "a".encode("utf-16-be" if c == "UTF-16BE" else "utf-16-le" if c == "UTF-16LE" else "ascii") for c in known}
+    rows = spark.createDataFrame([(c, bytearray(b)) for c, b in bits.items()], "label string, b binary")
+    got = rows.select(F.call_function("decode", "b", F.col("label")).alias("t")).collect()
+    assert [r.t for r in got] == ["a"] * len(known)
+    assert len(encoding.labels()) > 150
+
+
+@pytest.mark.parametrize(("label", "charset"), [("Latin1", "windows-1252"), (" iso_8859-1:1987 ", "windows-1252"), ("l5", "windows-1254"), ("csISOLatin2", "ISO-8859-2"), ("x-sjis", "windows-31j"), ("cp1251", "windows-1251"), ("UTF8", "UTF-8"), ("unicode", "UTF-16LE"), ("koi", "KOI8-R"), ("asmo-708", "ISO-8859-6"), ("big5", "Big5-HKSCS"), ("gb_2312-80", "GBK"), ("ibm850", "ibm850")])
+def test_labels(spark, label, charset):
+    assert one(spark, label, encoding.charset_of) == charset
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "shown"),
+    [(1.0, "double", "1"), (-0.5, "double", "-0.5"), (1e20, "double", "1" + "0" * 20), (1.5e-7, "double", "0.00000015"), (-123456789.25, "double", "-123456789.25"), (1e7, "double", "10000000"), (1.25e10, "float", "12500000000"), (float("nan"), "double", "NaN"), (float("-inf"), "double", "-inf"), (0.0, "double", "0"), (7, "bigint", "7"), (None, "double", None)],
+)
+def test_written_numbers(spark, value, kind, shown):
+    assert one(spark, value, lambda c: text.write_number(c, T.StructType.fromDDL(f"v {kind}")["v"].dataType), kind) == shown
+
+
+@pytest.mark.parametrize(
+    ("raw", "kind", "value"),
+    [("1.5", "double", 1.5), ("1.5d", "double", None), ("1f", "float", None), ("+2", "int", 2), ("2.0", "int", None), (".5", "double", 0.5), ("5.", "double", 5.0), ("1e3", "double", 1000.0), ("Inf", "double", float("inf")), ("-infinity", "double", float("-inf")), ("0x1", "int", None), ("", "int", None), ("128", "tinyint", None), ("1e1", "decimal(5,1)", 10), ("--1", "int", None)],
+)
+def test_read_numbers(spark, raw, kind, value):
+    got = one(spark, raw, lambda c: text.read_number(c, T.StructType.fromDDL(f"v {kind}")["v"].dataType))
+    assert got == value if got is None or value is None else float(got) == value

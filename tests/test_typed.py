@@ -123,3 +123,27 @@ def test_stream(spark, tmp_path):
 def test_entity_map_of_doctype(spark):
     df = spark.createDataFrame([('r [<!ENTITY a "1"><!ENTITY b \'2\'><!ENTITY a "3"><!ENTITY % p "x">]',)], "c string")
     assert df.select(bind.custom_entities(F.col("c")).alias("m")).first().m == {"a": "1", "b": "2"}
+
+
+def test_typed_maps(spark):
+    assert read(spark, "<r><m><a> 1 </a><b>x</b></m></r>", "m MAP<STRING, INT>") == {"m": {"a": 1, "b": None}}
+
+
+def items(spark, xml, variants, f=bind.read_items):
+    got = spark.createDataFrame([(xml,)], "c string").select(f(F.col("c"), variants).alias("i")).first().i
+    return None if got is None else [tuple(x.asDict(True).values()) for x in got]
+
+
+def test_items(spark):
+    xml = "<r>one &lt; <![CDATA[two]]><a>1</a> <!-- c --><a/>\n<p:b k='2'>t<c/></p:b>end&#33;</r>"
+    assert items(spark, xml, {"a": "INT", "b": "STRUCT<`@k`: INT, `$text`: STRING>"}) == [("$text", "one < two", None, None), ("a", None, 1, None), ("a", None, None, None), ("b", None, None, {"@k": 2, "$text": "t"}), ("$text", "end!", None, None)]
+    assert items(spark, "<r/>", {"a": "INT"}) == []
+    assert items(spark, None, {"a": "INT"}) is None
+    assert items(spark, "<r><x><a>1</a></x><a>2</a></r>", {"a": "INT"}) == [("x", None, None), ("a", None, 2)]
+
+
+def test_roots(spark):
+    assert items(spark, "<?xml version='1.0'?><a>1</a>\n<b>t</b><a>2</a>", {"a": "INT", "b": "STRING"}, bind.read_roots) == [("a", None, 1, None), ("b", None, None, "t"), ("a", None, 2, None)]
+    docs = [("<a/>", 1), ("<a/> <!-- --> ", 1), ("", 0), ("<a/><b></b>", 2), ("<a/>x", -1), ("x<a/>", -1), ("<a>x</a>&amp;", -1)]
+    got = spark.createDataFrame(docs, "c string, n int").select(bind.root_count(F.col("c")).alias("g"), "n").collect()
+    assert [r.g for r in got] == [r.n for r in got]

@@ -7,6 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: XML white space: blank, tab, carriage return, line feed.
 SPACES = " \t\r\n"
@@ -184,6 +185,43 @@ def xml_bool(c: Column) -> Column:
     return F.when(c.isin("true", "1"), True).when(c.isin("false", "0"), False)
 
 
+#: Texts of numbers: sign and digits; digits with a point or an exponent; the names of what is none.
+_INTEGER, _DECIMAL, _NO_NUMBER = "[+-]?[0-9]+", "[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?", "[+-]?(?i:inf|infinity|nan)"
+
+
+def read_number(c: Column, kind: T.DataType) -> Column:
+    """A text as a number of a type; null where it is none (no suffixes, no blanks inside)."""
+    if isinstance(kind, T.IntegralType):
+        return F.when(c.rlike(f"^{_INTEGER}$"), c.try_cast(kind))
+    if isinstance(kind, T.DecimalType):
+        return F.when(c.rlike(f"^{_DECIMAL}$"), c.try_cast(kind))
+    name = F.lower(F.regexp_replace(c, "^[+-]", ""))
+    word = F.when(name == "nan", "NaN").otherwise(F.when(c.startswith("-"), "-Infinity").otherwise("Infinity"))
+    return F.when(c.rlike(f"^{_DECIMAL}$"), c.try_cast(kind)).when(c.rlike(f"^{_NO_NUMBER}$"), word.try_cast(kind))
+
+
+def write_number(c: Column, kind: T.DataType) -> Column:
+    """A number as text: the fewest digits that tell it, no exponent, no point in a whole one."""
+    if not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType):
+        return c.cast("string")
+    # Java's own digits are not always the fewest
+    wide = c.cast("double")
+    tries = [F.format_string(f"%.{n - 1}e", wide) for n in ((6, 7, 8, 9) if isinstance(kind, T.FloatType) else (15, 16, 17))]
+    shortest = F.coalesce(*[F.when(t.try_cast(kind) == c, t) for t in tries])
+
+    def plain(s: Column) -> Column:
+        parts = "^-?([0-9])\\.([0-9]*?)0*e([+-][0-9]+)$"
+        more, e = F.regexp_extract(s, parts, 2), F.regexp_extract(s, parts, 3).try_cast("int")
+        digits = F.concat(F.regexp_extract(s, parts, 1), more)
+        whole = F.concat(F.substring(digits, F.lit(1), e + 1), F.repeat(F.lit("0"), F.greatest(e - F.char_length(more), F.lit(0))))
+        rest = F.when(F.char_length(more) > e, F.concat(F.lit("."), F.substring(digits, e + 2, F.char_length(digits)))).otherwise("")
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(e < 0, small).otherwise(F.concat(whole, rest)))
+
+    endless = F.when(c > 0, "inf").otherwise("-inf")
+    return F.when(F.isnan(c), "NaN").when(F.abs(c) == F.lit(float("inf")), endless).otherwise(let(shortest, plain))
+
+
 def is_xml_name(c: Column) -> Column:
     return c.rlike(f"^[{_NAME_START}][{_NAME_START}{_NAME_MORE}]*$")
 
@@ -201,3 +239,13 @@ def local_name(name: Column) -> Column:
 def prefix(name: Column) -> Column:
     """What precedes the first colon; null without one."""
     return F.when(F.contains(name, F.lit(":")), F.regexp_extract(name, "(?s)^([^:]*):", 1))
+
+
+def is_xml_prefix(name: Column) -> Column:
+    """True for a prefix, or a name with it, that is bound to the XML namespace."""
+    return F.coalesce(prefix(name), name) == "xml"
+
+
+def is_xmlns_prefix(name: Column) -> Column:
+    """True for a prefix, or a name with it, that declares prefixes."""
+    return F.coalesce(prefix(name), name) == "xmlns"

@@ -113,3 +113,18 @@ def push_attribute(tag: Column, key: Column | str, value: Column, escaped: bool
 def set_name(content: Column, name: Column, attrs_raw: Column) -> Column:
     """A tag's content under another name, attributes kept."""
     return F.concat(name, F.coalesce(attrs_raw, F.lit("")))
+
+
+def clear_attributes(name: Column) -> Column:
+    """A tag's content without attributes: its name."""
+    return name
+
+
+def name_length(content: Column) -> Column:
+    """Bytes of the name at the start of a tag's content."""
+    return F.octet_length(F.regexp_extract(content, "^[^ \\t\\r\\n]*", 0))
+
+
+def end_of(content: Column) -> Column:
+    """Content of the end tag that closes a start tag's content."""
+    return F.regexp_extract(content, "^[^ \\t\\r\\n]*", 0)

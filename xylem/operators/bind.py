@@ -3,7 +3,7 @@
 ``from_xml`` does the parsing inside the JVM with a schema whose leaves are strings;
 a projection then applies this engine's own rules to the leaves: white space around
 numbers, the four boolean literals, blank-separated lists, ``xsi:nil``.  What needs the
-order of mixed content comes from the event relation.
+order of mixed content comes from the document's events.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import eol_xml11, let, trim_xml, xml_bool, xs_list
+from ..functions.text import PREDEFINED, entity_map, eol_xml11, let, read_number, resolve_reference, trim_xml, xml_bool, xs_list
+from ..options import ReaderOptions
+from .events import event_array
 
 #: Options under which ``from_xml`` follows the naming rules of typed reading.
 FROM_XML = {"attributePrefix": "@", "valueTag": "$text", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
@@ -37,7 +39,10 @@ def cast_text(c: Column, kind: T.DataType, strict: bool = False) -> Column:
         return eol_xml11(c)
     if isinstance(kind, T.ArrayType):
         return F.transform(xs_list(c), lambda x: cast_text(x, kind.elementType, strict))
-    out = xml_bool(c) if isinstance(kind, T.BooleanType) else trim_xml(c).try_cast(kind)
+    if isinstance(kind, T.NumericType):
+        out = read_number(trim_xml(c), kind)
+    else:
+        out = xml_bool(c) if isinstance(kind, T.BooleanType) else trim_xml(c).try_cast(kind)
     if strict:
         wrong = F.raise_error(F.concat(F.lit(f"not a {kind.simpleString()}: "), c)).cast(kind)
         out = F.when(c.isNull() | out.isNotNull(), out).otherwise(wrong)
@@ -54,7 +59,8 @@ def _fix(c: Column, kind: T.DataType, name: str, strict: bool) -> Column:
             return F.transform(c, lambda x: F.coalesce(eol_xml11(x), F.lit("")))
         return F.transform(c, lambda x: _fix(x, kind.elementType, "", strict))
     if isinstance(kind, T.MapType):
-        return c
+        # a map as it is asked for: every value by its type
+        return F.transform_values(c, lambda k, v: cast_text(v, kind.valueType, strict))
     return cast_text(c, kind, strict)
 
 
@@ -73,6 +79,96 @@ def read_typed(xml: Column, schema: T.StructType | str, strict: bool = False, wi
     return let(F.from_xml(xml, _ddl(parse), options), lambda got: F.when(xml.isNotNull() & got["__corrupt"].isNull(), _fix(got, kind, "", strict)))
 
 
+_INSIDE = ReaderOptions(check_end_names=False, allow_unmatched_ends=True)
+_ITEM = "struct<tag:string,xml:string,text:string>"
+
+
+def _top_items(xml: Column, level: int) -> Column:
+    """Elements of a level and the texts between them, in order: (tag, xml, text).
+
+    One left fold over the document's events: an element's raw text grows until it closes,
+    runs of text, CDATA and references are one text.  Blank texts and what is outside of
+    the level's parents are left out.
+    """
+    known = entity_map(PREDEFINED)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("tag"), F.array().cast("array<string>").alias("raw"), F.array().cast(f"array<{_ITEM}>").alias("out"))
+
+    def step(acc, x):
+        e = x["e"]
+        kind, depth = e["kind"], acc["depth"]
+        closed = F.when(kind == "End", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        after = F.when(kind == "Start", depth + 1).otherwise(closed)
+        inside = depth > level
+        opens = (kind == "Start") & (depth == level)
+        ends = (kind == "End") & (closed == level) & inside
+        # names without their prefix, as for all typed reading
+        local = F.regexp_replace(e["name"], "^[^:]*:", "")
+        bit = F.when(kind == "GeneralRef", F.coalesce(resolve_reference(e["content"], known), e["raw"])).when(kind.isin("Text", "CData"), eol_xml11(e["content"]))
+        here = bit.isNotNull() & (depth == level)
+        raw = F.when(inside | opens, F.array_append(acc["raw"], e["raw"])).when(here, F.array_append(acc["raw"], bit)).otherwise(acc["raw"])
+        text = F.array_join(acc["raw"], "")
+        # a text ends where an element begins or the parent ends
+        flush = ~inside & (F.size(acc["raw"]) > 0) & (opens | ((kind == "Empty") & (depth == level)) | ((kind == "End") & (depth == level)))
+        spoken = F.when(flush & (trim_xml(text) != ""), F.array_append(acc["out"], F.struct(F.lit("$text").alias("tag"), F.lit(None).cast("string").alias("xml"), text.alias("text")))).otherwise(acc["out"])
+        done = F.when(ends, F.array_append(acc["out"], F.struct(acc["tag"].alias("tag"), F.array_join(F.array_append(acc["raw"], e["raw"]), "").alias("xml"), F.lit(None).cast("string").alias("text"))))
+        done = done.when((kind == "Empty") & (depth == level), F.array_append(spoken, F.struct(local.alias("tag"), e["raw"].alias("xml"), F.lit(None).cast("string").alias("text")))).otherwise(spoken)
+        kept = F.when(ends | ((kind == "Empty") & (depth == level)) | (flush & ~opens), F.array().cast("array<string>")).when(opens, F.array(e["raw"])).otherwise(raw)
+        return F.struct(after.cast("int").alias("depth"), F.when(opens, local).otherwise(acc["tag"]).alias("tag"), kept.alias("raw"), done.alias("out"))
+
+    return F.aggregate(event_array(xml, _INSIDE), start, step, lambda a: a["out"])
+
+
+def _variants(items: Column, variants: dict[str, T.DataType | str], strict: bool) -> Column:
+    """Items with one typed field for each variant; the others are null."""
+
+    def one(x: Column) -> Column:
+        fields = [x["tag"].alias("tag"), x["text"].alias("$text")]
+        for name, kind in variants.items():
+            kind = T.StructType.fromDDL(f"v {kind}")["v"].dataType if isinstance(kind, str) else kind
+            if isinstance(kind, T.StructType):
+                value = read_typed(x["xml"], kind, strict)
+            else:
+                # a simple element: read as the only field of a record around it
+                around = F.concat(F.lit("<r>"), x["xml"], F.lit("</r>"))
+                value = read_typed(around, T.StructType([T.StructField(name, kind)]), strict)[name]
+            fields.append(F.when(x["tag"] == name, value).alias(name))
+        return F.struct(*fields)
+
+    return F.transform(items, one)
+
+
+def read_items(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False) -> Column:
+    """Mixed or choice content of the root, by a schema and in order.
+
+    An array of (tag, ``$text``, one field a variant): for an element the field of its
+    name is read by the variant's type, for a text ``$text`` holds it.  Elements of other
+    names have their tag alone.  ``read_items(...)[0]`` is a single choice.  For the content
+    of an inner element read it as raw XML first (``wildcard`` of ``read_typed``).
+    """
+    return F.when(xml.isNotNull(), _variants(_top_items(xml, 1), variants, strict))
+
+
+def read_roots(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False) -> Column:
+    """A sequence of several root elements, as ``read_items`` gives the content of one."""
+    return F.when(xml.isNotNull(), _variants(_top_items(xml, 0), variants, strict))
+
+
+def root_count(xml: Column) -> Column:
+    """Number of root elements: a document that is read to its end has one, and no text beside it.
+
+    -1 where a text, CDATA or a reference stands outside of the roots.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("stray"))
+
+    def step(acc, x):
+        kind, top = x["e"]["kind"], acc["depth"] == 0
+        depth = F.when(kind == "Start", acc["depth"] + 1).when(kind == "End", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        stray = top & (((kind == "Text") & (trim_xml(x["e"]["content"]) != "")) | kind.isin("CData", "GeneralRef", "Error"))
+        return F.struct(depth.alias("depth"), (acc["n"] + (top & kind.isin("Start", "Empty")).cast("int")).alias("n"), (acc["stray"] | stray).alias("stray"))
+
+    return F.aggregate(event_array(xml, _INSIDE), start, step, lambda a: F.when(a["stray"], -1).otherwise(a["n"]))
+
+
 def _ddl(kind: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString() if not isinstance(f.dataType, (T.StructType, T.ArrayType)) else _nested(f.dataType)}" for f in kind.fields)
 

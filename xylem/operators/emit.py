@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ESCAPES, cdata, escape, is_xml_name, list_escape
+from ..functions.text import ESCAPES, cdata, escape, is_xml_name, list_escape, write_number
 from ..options import TypedOptions, WriterOptions
 
 
@@ -129,7 +129,7 @@ def _simple(c: Column, kind: T.DataType, level: str, item: bool = False) -> Colu
         return F.array_join(F.filter(items, lambda x: x != ""), " ")
     if isinstance(kind, (T.StructType, T.MapType)):
         raise Unsupported("a text or attribute holds simple values only")
-    text = c.cast("string")
+    text = write_number(c, kind)
     if isinstance(kind, T.StringType):
         return list_escape(text, level) if item else ESCAPES[level](text)
     return text

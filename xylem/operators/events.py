@@ -1,9 +1,13 @@
 """The event relation: one row per piece of markup or text of a document.
 
-Two tiers share one schema.  A possessive token pattern splits a document inside the
-JVM: ``regexp_extract_all``, a projection and ``posexplode``, no shuffle, no Python.
-Whether the pattern read a document whole is checked in the row itself (the tokens'
-bytes must add up); only documents that fail go to the exact reader, in Arrow batches.
+A possessive token pattern splits a document inside the JVM: ``regexp_extract_all``, a
+projection and ``posexplode``, no shuffle, no Python, one scan.  Every byte lands in a
+token: a lone ampersand is one, and markup that never closes is the last one, with all
+that follows.  Errors and their byte positions are read off the tokens, and end tags are
+checked by a fold over the document's own row.
+
+``strict_events`` gives the same relation by a state machine in Python, a second reader
+to hold the first against.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from .strict import read_document
 
 _COMMENT = "<!--.*?-->"
 _QUOTES = "\"[^\"]*+\"|'[^']*+'"
-#: Markup that the pattern reads; whatever else starts with ``<`` is left to the exact reader.
+#: Markup that is whole; whatever else starts with ``<`` is an error up to the document's end.
 TOKEN = (
     "(?s)"
     + _COMMENT
@@ -29,35 +33,47 @@ TOKEN = (
     + "|<(?![!?])(?:[^>\"']++|" + _QUOTES + ")*+>"
     + "|&[^;&<]*+;"
 )
-_TEXT = "|[^<&]++"
-_DANGLING = "|&[^;&<]*+"
+_REST = "|[^<&]++|&[^;&<]*+|<.*+"
+_WHOLE = TOKEN.replace("(?s)", "(?s)\\A(?:", 1) + ")\\z"
 
 #: Columns of an event besides the document's id and ``seq``.
 FIELDS = "kind string, raw string, content string, name string, attrs_raw string, error struct<class:string,code:string,pos:bigint,msg:string>"
 _ERROR = "struct<class:string,code:string,pos:bigint,msg:string>"
 
 
-def token_pattern(options: ReaderOptions = ReaderOptions()) -> str:
-    return TOKEN + (_DANGLING if options.allow_dangling_amp else "") + _TEXT
+def tokens(xml: Column) -> Column:
+    """The pieces of a document, in order, all its bytes; a byte order mark at its start is cut."""
+    return F.regexp_extract_all(F.regexp_replace(xml, "^\\x{FEFF}", ""), F.lit(TOKEN + _REST), F.lit(0))
 
 
-def tokens(xml: Column, options: ReaderOptions = ReaderOptions()) -> Column:
-    """The pieces of a document, in order; a byte order mark at its start is cut."""
-    return F.regexp_extract_all(F.regexp_replace(xml, "^\\x{FEFF}", ""), F.lit(token_pattern(options)), F.lit(0))
-
-
-def lossless(xml: Column, toks: Column) -> Column:
-    """True where the tokens hold every byte of the document."""
-    total = F.aggregate(toks, F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))
-    return total == F.octet_length(F.regexp_replace(xml, "^\\x{FEFF}", ""))
+def _octets(toks: Column, n: Column) -> Column:
+    """Bytes of the first ``n`` tokens."""
+    return F.aggregate(F.slice(toks, F.lit(1), n), F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))
 
 
 def _sub(c: Column, start: int, less: int) -> Column:
     return F.substring(c, F.lit(start), F.greatest(F.char_length(c) - less, F.lit(0)))
 
 
-def classify(t: Column, options: ReaderOptions = ReaderOptions()) -> Column:
-    """Kind, content, name and raw attributes of one token."""
+def _broken(t: Column) -> Column:
+    """Code of the syntax error that a token of unclosed markup is."""
+    # a tag: what stands behind its last whole quotation
+    rest = F.regexp_replace(t, "(?s)\\A<(?:[^>\"']++|" + _QUOTES + ")*+", "")
+    return (
+        F.when(t.startswith("<!-"), "UnclosedComment")
+        .when(t.startswith("<!["), "UnclosedCData")
+        .when(t.rlike("\\A<![dD]"), "UnclosedDoctype")
+        .when(t.startswith("<!"), "InvalidBangMarkup")
+        .when(t.rlike("\\A<\\?xml([ \\t\\r\\n]|\\z)"), "UnclosedXmlDecl")
+        .when(t.startswith("<?"), "UnclosedPI")
+        .when(rest.startswith('"'), "UnclosedDoubleQuotedAttributeValue")
+        .when(rest.startswith("'"), "UnclosedSingleQuotedAttributeValue")
+        .otherwise("UnclosedTag")
+    )
+
+
+def classify(t: Column, last: Column, options: ReaderOptions = ReaderOptions()) -> Column:
+    """Kind, content and syntax error of one token; only the ``last`` one may be broken."""
     end_name = _sub(t, 3, 3)
     if options.trim_markup_names_in_closing_tags:
         cut = F.rtrim(end_name, F.lit(SPACES))
@@ -68,9 +84,12 @@ def classify(t: Column, options: ReaderOptions = ReaderOptions()) -> Column:
         text = F.ltrim(text, F.lit(SPACES))
     if options.trim_text_end:
         text = F.rtrim(text, F.lit(SPACES))
+    broken = F.when(last & t.startswith("<"), F.when(~t.rlike(_WHOLE), _broken(t)))
+    lone = "Text" if options.allow_dangling_amp else "Error"
     kind = (
         F.when(~F.substring(t, 1, 1).isin("<", "&"), "Text")
-        .when(t.startswith("&"), F.when(t.endswith(";"), "GeneralRef").otherwise("Text"))
+        .when(t.startswith("&"), F.when(t.endswith(";"), "GeneralRef").otherwise(lone))
+        .when(broken.isNotNull(), "Error")
         .when(t.startswith("</"), "End")
         .when(t.startswith("<!--"), "Comment")
         .when(t.startswith("<![CDATA["), "CData")
@@ -82,6 +101,7 @@ def classify(t: Column, options: ReaderOptions = ReaderOptions()) -> Column:
     k = F.substring(t, 1, 2)
     content = (
         F.when(kind == "Text", text)
+        .when(kind == "Error", "")
         .when(kind == "GeneralRef", _sub(t, 2, 2))
         .when(kind == "End", end_name)
         .when(kind == "Comment", _sub(t, 5, 7))
@@ -91,35 +111,76 @@ def classify(t: Column, options: ReaderOptions = ReaderOptions()) -> Column:
         .when(kind == "Empty", _sub(t, 2, 3))
         .otherwise(_sub(t, 2, 2))
     )
-    return F.struct(kind.alias("kind"), t.alias("raw"), content.alias("content"))
-
-
-def _named(x: Column, options: ReaderOptions) -> Column:
-    """Adds name, raw attributes, and the errors that a token shows by itself."""
-    kind, content = x["kind"], x["content"]
+    return F.struct(kind.alias("kind"), t.alias("raw"), content.alias("content"), broken.alias("broken"))
+
+
+def _open_names(arr: Column, options: ReaderOptions) -> Column:
+    """Wrong end tags of a document's classified tokens: (place, code, name that was open)."""
+    none = F.array().cast("array<struct<i:int,code:string,open:string>>")
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("open"), none.alias("bad"))
+
+    def step(acc, x):
+        stack = acc["open"]
+        top = F.when(F.size(stack) > 0, F.element_at(stack, -1))
+        end = x["kind"] == "End"
+        code = F.lit(None).cast("string")
+        if not options.allow_unmatched_ends:
+            code = F.when(end & (F.size(stack) == 0), "UnmatchedEndTag")
+        if options.check_end_names:
+            code = F.coalesce(code, F.when(end & (F.size(stack) > 0) & (x["content"] != top), "MismatchedEndTag"))
+        name = F.regexp_extract(x["content"], "^[^ \\t\\r\\n]*", 0)
+        after = F.when(x["kind"] == "Start", F.array_append(stack, name)).when(end & (F.size(stack) > 0), F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(stack)
+        wrong = F.struct(acc["i"].alias("i"), code.alias("code"), top.alias("open"))
+        return F.struct((acc["i"] + 1).alias("i"), after.alias("open"), F.when(code.isNotNull(), F.array_append(acc["bad"], wrong)).otherwise(acc["bad"]).alias("bad"))
+
+    return F.aggregate(arr, start, step, lambda a: a["bad"])
+
+
+def _named(x: Column, i: Column, toks: Column, bad: Column | None, options: ReaderOptions) -> Column:
+    """Adds name, raw attributes, and the error that takes an event's place."""
+    kind, content, raw = x["kind"], x["content"], x["raw"]
     name = F.when(kind.isin("Start", "Empty", "PI", "Decl"), F.regexp_extract(content, "^[^ \\t\\r\\n]*", 0)).when(kind == "End", content)
     rest = F.when(kind.isin("Start", "Empty", "PI", "Decl"), F.substring(content, F.char_length(name) + 1, F.char_length(content)))
-    code = F.when((kind == "DocType") & (content == ""), "MissingDoctypeName")
-    if options.check_comments:
-        code = code.when((kind == "Comment") & (F.contains(content, F.lit("--")) | content.endswith("-")), "DoubleHyphenInComment")
-    error = F.when(code.isNotNull(), F.struct(F.lit("IllFormed").alias("class"), code.alias("code"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("msg")))
-    return F.struct(F.when(code.isNotNull(), "Error").otherwise(kind).alias("kind"), x["raw"].alias("raw"), content.alias("content"), name.alias("name"), rest.alias("attrs_raw"), error.alias("error"))
+    before = _octets(toks, i)
 
+    def error(cls: str, code: Column | str, pos: Column = before, msg: Column | None = None) -> Column:
+        return F.struct(F.lit(cls).alias("class"), (F.lit(code) if isinstance(code, str) else code).alias("code"), pos.cast("long").alias("pos"), (F.lit(None).cast("string") if msg is None else msg).alias("msg"))
 
-def event_array(xml: Column, options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None, toks: Column | None = None) -> Column:
+    found = F.when(x["broken"].isNotNull(), error("Syntax", x["broken"])).when(kind == "Error", error("IllFormed", "UnclosedReference"))
+    found = found.when((kind == "DocType") & (content == ""), error("IllFormed", "MissingDoctypeName", before + F.octet_length(raw) - 1))
+    if options.check_comments:
+        # the content's last hyphen makes a pair with the closing ones
+        at = F.instr(F.concat(content, F.lit("-")), "--")
+        found = found.when((kind == "Comment") & (at > 0), error("IllFormed", "DoubleHyphenInComment", before + 3 + F.octet_length(F.substring(content, F.lit(1), at - 1)) + 1))
+    if bad is not None:
+        here = F.get(F.filter(bad, lambda b: b["i"] == i), F.lit(0))
+        msg = F.when(here["code"] == "MismatchedEndTag", F.concat(F.lit("expected `</"), here["open"], F.lit(">`, but `</"), content, F.lit(">` was found"))).otherwise(F.concat(F.lit("`</"), content, F.lit(">` has no start")))
+        found = found.when((kind == "End") & (F.size(bad) > 0) & here.isNotNull(), error("IllFormed", here["code"], msg=msg))
+    wrong = found.isNotNull()
+    return F.struct(F.when(wrong, "Error").otherwise(kind).alias("kind"), raw.alias("raw"), F.when(wrong, "").otherwise(content).alias("content"), F.when(~wrong, name).alias("name"), F.when(~wrong, rest).alias("attrs_raw"), found.alias("error"))
+
+
+def event_array(xml: Column, options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None) -> Column:
     """Events of a document as an array in its row: no explosion, so streams can use it.
 
     ``kinds`` leaves other events out before anything is exploded.
     """
-    if toks is None:
-        return let(tokens(xml, options), lambda t: event_array(xml, options, kinds, t))
-    arr = F.transform(toks, lambda t: classify(t, options))
+    return let(tokens(xml), lambda toks: let(F.transform(toks, lambda t, i: classify(t, i == F.size(toks) - 1, options)), lambda arr: _from_tokens(toks, arr, options, kinds)))
+
+
+def _from_tokens(toks: Column, arr: Column, options: ReaderOptions, kinds: list[str] | None) -> Column:
+    checked = (options.check_end_names or not options.allow_unmatched_ends) and (kinds is None or bool({"End", "Error"} & set(kinds)))
+    if checked:
+        return let(_open_names(arr, options), lambda bad: _events_of(toks, F.transform(arr, lambda x, i: _named(x, i, toks, bad, options)), options, kinds))
+    return _events_of(toks, F.transform(arr, lambda x, i: _named(x, i, toks, None, options)), options, kinds)
+
+
+def _events_of(toks: Column, arr: Column, options: ReaderOptions, kinds: list[str] | None) -> Column:
     if options.trim_text_end:
         # at the end of the document a text cut to nothing is none
         arr = F.filter(arr, lambda x, i: ~((i == F.size(toks) - 1) & (x["kind"] == "Text") & (x["content"] == "")))
     if options.trim_text_start:
         arr = F.filter(arr, lambda x: ~((x["kind"] == "Text") & (F.ltrim(x["raw"], F.lit(SPACES)) == "")))
-    arr = F.transform(arr, lambda x: _named(x, options))
     if options.expand_empty_elements:
         error = F.lit(None).cast(_ERROR)
 
@@ -129,35 +190,21 @@ def event_array(xml: Column, options: ReaderOptions = ReaderOptions(), kinds: li
             return F.when(x["kind"] == "Empty", F.array(start, end)).otherwise(F.array(x))
 
         arr = F.flatten(F.transform(arr, both))
-    if kinds is not None:
-        # the place in the document is kept: filtering happens after numbering
-        numbered = F.transform(arr, lambda x, i: F.struct(i.alias("seq"), x.alias("e")))
-        return F.filter(numbered, lambda x: x["e"]["kind"].isin(*kinds))
-    return F.transform(arr, lambda x, i: F.struct(i.alias("seq"), x.alias("e")))
+    numbered = F.transform(arr, lambda x, i: F.struct(i.alias("seq"), x.alias("e")))
+    # the place in the document is kept: filtering happens after numbering
+    return numbered if kinds is None else F.filter(numbered, lambda x: x["e"]["kind"].isin(*kinds))
 
 
-def events(df: DataFrame, doc_id: str = "doc_id", xml: str = "xml", options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None, exact: bool = True) -> DataFrame:
+def events(df: DataFrame, doc_id: str = "doc_id", xml: str = "xml", options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None) -> DataFrame:
     """(doc_id, seq, kind, raw, content, name, attrs_raw, error) of every document.
 
     ``kind`` is Start, End, Empty, Text, CData, Comment, Decl, PI, DocType, GeneralRef
     or Error.  Errors of well-formedness leave the events around them; after a syntax
-    error nothing follows.  With ``exact`` documents that the pattern cannot read whole
-    are read by the state machine, which also checks end tags in order; see
-    :func:`xylem.operators.tree.check_ends` for the same check on the others.  A null
+    error nothing follows.  Positions are bytes, not counting a byte order mark.  A null
     document has no events.  ``kinds`` keeps only such events (their ``seq`` stays).
     """
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(xml).alias("__xml")).filter("__xml is not null")
-    doc = F.col("__xml")
-
-    def read(t: Column) -> Column:
-        arr = event_array(doc, options, kinds, t)
-        return F.when(lossless(doc, t), arr) if exact else arr
-
-    fast = base.select("doc_id", F.explode(let(tokens(doc, options), read)).alias("__e")).select("doc_id", F.col("__e.seq").alias("seq"), "__e.e.*")
-    if not exact:
-        return fast
-    rest = base.filter(~lossless(doc, tokens(doc, options)))
-    return fast.unionByName(strict_events(rest, "doc_id", "__xml", options, kinds))
+    return base.select("doc_id", F.explode(event_array(F.col("__xml"), options, kinds)).alias("__e")).select("doc_id", F.col("__e.seq").alias("seq"), "__e.e.*")
 
 
 def strict_events(df: DataFrame, doc_id: str = "doc_id", xml: str = "xml", options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None) -> DataFrame:

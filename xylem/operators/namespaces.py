@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import local_name, prefix
-from .attributes import XSI, attributes
+from .attributes import XSI, attribute_array, attributes
 
 # The two namespaces that are always bound.
 XML_NS, XMLNS_NS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
@@ -33,15 +33,18 @@ def binding_error(pre: Column, uri: Column) -> Column:
     )
 
 
-def bindings(ev: DataFrame, el: DataFrame) -> DataFrame:
+def bindings(ev: DataFrame | None, el: DataFrame) -> DataFrame:
     """(doc_id, from_seq, to_seq, level, prefix, uri, error) of all declarations.
 
-    ``level`` is the element's depth plus one (level zero has the reserved two).
+    ``level`` is the element's depth plus one (level zero has the reserved two).  Only
+    ``el`` is read.
     """
-    a = attributes(ev).withColumn("__p", binding_prefix(F.col("key"))).filter("__p is not null")
-    e = el.select("doc_id", F.col("start_seq").alias("seq"), "end_seq", "depth")
-    out = a.select("doc_id", "seq", "pos", F.col("__p").alias("prefix"), F.col("raw_value").alias("uri")).join(e, ["doc_id", "seq"])
-    return out.select("doc_id", F.col("seq").alias("from_seq"), F.col("end_seq").alias("to_seq"), (F.col("depth") + 1).alias("level"), "pos", "prefix", "uri", binding_error(F.col("prefix"), F.col("uri")).alias("error"))
+    tags = el.select("doc_id", F.col("start_seq").alias("seq"), "kind", "attrs_raw", "end_seq", "depth")
+    # an element has its own attributes: no other reading of the events, no join
+    a = F.explode(F.filter(attribute_array(F.col("attrs_raw")), lambda x: binding_prefix(x["key"]).isNotNull()))
+    out = tags.filter(F.col("attrs_raw").contains("xmlns")).select("doc_id", "seq", "end_seq", "depth", a.alias("a"))
+    pre, uri = binding_prefix(F.col("a.key")), F.col("a.value")
+    return out.select("doc_id", F.col("seq").alias("from_seq"), F.col("end_seq").alias("to_seq"), (F.col("depth") + 1).alias("level"), F.col("a.pos").alias("pos"), pre.alias("prefix"), uri.alias("uri"), binding_error(pre, uri).alias("error"))
 
 
 def resolve(names: DataFrame, bound: DataFrame, name: str = "name", seq: str = "seq", use_default: bool = True) -> DataFrame:
@@ -58,9 +61,10 @@ def resolve(names: DataFrame, bound: DataFrame, name: str = "name", seq: str = "
     if not use_default:
         rows = rows.withColumn("__p", F.when(pre.isNotNull(), F.col("__p")))
     good = bound.filter("error is null").select(F.col("doc_id").alias("__d"), "from_seq", "to_seq", "level", F.col("pos").alias("__bpos"), F.col("prefix").alias("__bp"), F.col("uri").alias("__uri"))
-    hit = rows.select(*keys, "__p").join(good, (F.col("doc_id") == F.col("__d")) & (F.col("__p") == F.col("__bp")) & (F.col(seq) >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col(seq) <= F.col("to_seq"))))
-    near = hit.groupBy(*keys).agg(F.max_by("__uri", F.struct("level", "__bpos")).alias("__uri"))
-    out = rows.join(near, keys, "left")
+    hit = rows.join(good, (F.col("doc_id") == F.col("__d")) & (F.col("__p") == F.col("__bp")) & (F.col(seq) >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col(seq) <= F.col("to_seq"))), "left")
+    # the row itself goes through the aggregation, so that it is read once
+    rest = [c for c in rows.columns if c not in keys]
+    out = hit.groupBy(*keys).agg(F.max_by("__uri", F.struct("level", "__bpos")).alias("__uri"), *[F.first(c).alias(c) for c in rest])
     uri = F.when(F.col("__p") == "xml", XML_NS).when(F.col("__p") == "xmlns", XMLNS_NS).otherwise(F.col("__uri"))
     plain = pre.isNull()
     status = F.when(uri.isNotNull() & (uri != ""), "Bound").when(plain, "Unbound").otherwise("Unknown")

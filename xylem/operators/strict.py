@@ -1,8 +1,8 @@
 """Exact reading of a single document: every event, error and position.
 
-The pull state machine in plain Python, for documents that the token pattern cannot
-read whole: markup that never closes, lone ampersands, broken declarations.  Errors of
-well-formedness do not end the document; errors of syntax do.
+The pull state machine in plain Python: the reader that the token pattern is held
+against, and the one that tells attribute errors.  Errors of well-formedness do not end
+the document; errors of syntax do.
 """
 
 from __future__ import annotations
@@ -74,9 +74,9 @@ def read_document(text: str, options: ReaderOptions = ReaderOptions()) -> list[E
     """
     out: list[Event] = []
     open_names: list[str] = []
+    # positions do not count the mark
+    text = text.removeprefix("\ufeff")
     at, n = 0, len(text)
-    if text.startswith("﻿"):
-        at = 1
     ascii_only = text.isascii()
     mark = [0, 0]  # characters and bytes counted so far
 

@@ -6,7 +6,9 @@ concatenation in both engines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +134,7 @@ def text_events(spark, sf_dir):
 @query(_sql(_PAGES, _TOKS, select="SELECT doc_id, trim(content, E' \\t\\r\\n') AS content FROM ev WHERE kind = 'Text' AND trim(content, E' \\t\\r\\n') <> ''"))
 def trimmed_texts(spark, sf_dir):
     """Texts trimmed on both sides, blank ones left out."""
-    ev = events.events(pages(spark, sf_dir), options=LENIENT.trim_text(True), kinds=["Text"], exact=False)
+    ev = events.events(pages(spark, sf_dir), options=LENIENT.trim_text(True), kinds=["Text"])
     return ev.select("doc_id", "content")
 
 
@@ -383,11 +385,11 @@ def unescape_predefined(spark, sf_dir):
     return _messy(spark, sf_dir).select("id", text.unescape(text.escape(s)).alias("plain"), twice.alias("same"))
 
 
-@query("SELECT p_partkey::BIGINT AS id, chr((33 + p_partkey % 900)::INTEGER) || '|' || chr((33 + p_partkey % 900)::INTEGER) || '|&nope;' AS plain, 'UnrecognizedEntity' AS problem FROM part WHERE NOT (33 + p_partkey % 900) BETWEEN 127 AND 160")
+@query("SELECT p_partkey::BIGINT AS id, chr((33 + p_partkey % 900)::INTEGER) || '|' || chr((33 + p_partkey % 900)::INTEGER) || '|&nope;' AS plain, 'UnrecognizedEntity' AS problem FROM part")
 def unescape_charref(spark, sf_dir):
     """Decimal and hexadecimal character references, and the first problem."""
     n = 33 + F.col("p_partkey") % 900
-    p = _table(spark, sf_dir, "part").filter(~n.between(127, 160))
+    p = _table(spark, sf_dir, "part")
     raw = F.concat(F.lit("&#"), n.cast("string"), F.lit(";|&#x"), F.lower(F.hex(n.cast("long"))), F.lit(";|&nope;"))
     return p.select(F.col("p_partkey").cast("long").alias("id"), text.unescape(raw).alias("plain"), text.unescape_error(raw)["code"].alias("problem"))
 
@@ -575,27 +577,159 @@ def tagged_variants(spark, sf_dir):
     return r.select("id", F.col("v.a.n").alias("a"), F.col("v.b.name").alias("b"))
 
 
-@query("SELECT n_nationkey::BIGINT AS id, 'Hi ' || n_name || '! <' AS plain FROM nation")
+@query("SELECT o_orderkey::BIGINT AS id, 'Hi ' || o_orderstatus || '! <' || o_orderkey AS plain FROM orders")
 def entity_resolver(spark, sf_dir):
-    """Entities declared by a document."""
-    doc = F.concat(F.lit("<!DOCTYPE r [<!ENTITY who '"), "n_name", F.lit("'><!ENTITY bang \"!\">]><r>Hi &who;&bang; &lt;</r>"))
-    ev = events.events(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), doc.alias("xml")), kinds=["DocType"])
-    return ev.select(F.col("doc_id").alias("id"), text.unescape(F.lit("Hi &who;&bang; &lt;"), bind.custom_entities(F.col("content"))).alias("plain"))
+    """Entities declared by a document, resolved in its own text."""
+    doc = F.concat(F.lit("<!DOCTYPE r [<!-- ' --><!ENTITY who '"), "o_orderstatus", F.lit("'><?p ]> ?><!ENTITY bang \"!\">]><r>Hi &who;&bang; &lt;"), F.col("o_orderkey").cast("string"), F.lit("</r>"))
+    ev = events.events(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), doc.alias("xml")), doc_id="id", options=LENIENT, kinds=["DocType", "Text", "GeneralRef"])
+    known = F.max(F.when(F.col("kind") == "DocType", F.col("content"))).alias("declared")
+    bits = F.array_sort(F.collect_list(F.when(F.col("kind") != "DocType", F.struct("seq", "raw"))))
+    rows = ev.groupBy(F.col("doc_id").alias("id")).agg(known, F.array_join(F.transform(bits, lambda x: x["raw"]), "").alias("raw"))
+    return rows.select("id", text.unescape(F.col("raw"), bind.custom_entities(F.col("declared"))).alias("plain"))
 
 
 # --- errors ------------------------------------------------------------------------
 
 
+_BROKEN = {
+    # a document, and the code and the byte of its error; {0} is the order's number, {1} its status
+    "lone ampersand": ("<o><i>{0}</i> & {1}</o>", "UnclosedReference", "11 + length('{0}')"),
+    "byte order mark": ("\ufeff<o>{0}&x</o>", "UnclosedReference", "3 + length('{0}')"),
+    "mismatched end": ("<é>{0}</b>{1}", "MismatchedEndTag", "4 + length('{0}')"),
+    "unmatched end": ("<o>{0}</o></{1}>", "UnmatchedEndTag", "7 + length('{0}')"),
+    "open tag": ("<o>{0}<{1} ", "UnclosedTag", "3 + length('{0}')"),
+    "open quotation": ("<o a='{0}' b=\"{1}>", "UnclosedDoubleQuotedAttributeValue", "0"),
+    "bang": ("<o>{0}<!{1}>", "InvalidBangMarkup", "3 + length('{0}')"),
+    "open comment": ("{0}<!--{1}->", "UnclosedComment", "length('{0}')"),
+    "open section": ("<o>{0}<![CDATA[{1}]>", "UnclosedCData", "3 + length('{0}')"),
+    "open instruction": ("<?p {0}?><?q {1}>", "UnclosedPI", "6 + length('{0}')"),
+    "open subset": ("<!DOCTYPE o [<!ENTITY e '>'><!-- ' {0} --><?p ]>", "UnclosedDoctype", "0"),
+    "nameless type": ("<?p {0}?><!DOCTYPE  ><o/>", "MissingDoctypeName", "17 + length('{0}')"),
+}
+
+
+def broken_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order, broken in one of a dozen ways."""
+    o = _table(spark, sf_dir, "orders")
+    kind, xml = F.col("o_orderkey") % len(_BROKEN), F.lit("")
+    for i, (form, _, _) in enumerate(_BROKEN.values()):
+        bits = [F.lit(b) if j % 2 == 0 else F.col("o_orderkey").cast("string") if b == "0" else F.col("o_orderstatus") for j, b in enumerate(re.split(r"\{([01])\}", form))]
+        xml = F.when(kind == i, F.concat(*bits)).otherwise(xml)
+    return o.select(F.col("o_orderkey").cast("long").alias("doc_id"), xml.alias("xml"))
+
+
+def _broken_sql(column: int) -> str:
+    """What a broken document gives, by its kind."""
+    cases = [f"WHEN {i} THEN " + (v[column].replace("'{0}'", "o_orderkey::VARCHAR") if column == 2 else f"'{v[column]}'") for i, v in enumerate(_BROKEN.values())]
+    return f"CASE o_orderkey % {len(_BROKEN)} {' '.join(cases)} END"
+
+
+@query(f"SELECT o_orderkey::BIGINT AS doc_id, {_broken_sql(1)} AS code, ({_broken_sql(2)})::BIGINT AS pos, o_orderkey % {len(_BROKEN)} IN (0, 1, 2, 3, {len(_BROKEN) - 1}) AS recoverable FROM orders")
+def broken_documents(spark, sf_dir):
+    """§2.13, R3, R8, R17, C1, C2, C4, P1-P5: errors and their places in bytes, marks not counted."""
+    bad = events.events(broken_docs(spark, sf_dir), kinds=["Error"])
+    return bad.select("doc_id", F.col("error.code").alias("code"), F.col("error.pos").alias("pos"), (F.col("error.class") == "IllFormed").alias("recoverable"))
+
+
 @query("""SELECT n_nationkey::BIGINT AS doc_id, CASE n_nationkey % 5 WHEN 0 THEN 'UnclosedReference' WHEN 1 THEN 'MismatchedEndTag' WHEN 2 THEN 'UnclosedTag' WHEN 3 THEN 'InvalidBangMarkup' ELSE 'UnmatchedEndTag' END AS code,
-CASE n_nationkey % 5 WHEN 0 THEN 3 + length(n_name) WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 7 END::BIGINT AS pos, (n_nationkey % 5 IN (0, 1, 4)) AS recoverable FROM nation""")
+CASE n_nationkey % 5 WHEN 0 THEN 3 + length(n_name) WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 7 END::BIGINT AS pos, (n_nationkey % 5 IN (0, 1, 4)) AS recoverable FROM nation""")
 def strict_errors(spark, sf_dir):
-    """§2.13, R3, R8, C1: errors and their places in bytes."""
+    """§2.13, R3, R8, C1: the same by the state machine."""
     k = F.col("n_nationkey") % 5
     xml = F.when(k == 0, F.concat(F.lit("<a>"), "n_name", F.lit("& b</a>"))).when(k == 1, "<é></b>").when(k == 2, "<a><b").when(k == 3, "<a><!x>").otherwise("<a></a></b>")
     docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml"))
     bad = events.strict_events(docs).filter("kind = 'Error'")
-    pos = F.when(F.col("error.code") == "MismatchedEndTag", F.col("error.pos") + 1).otherwise(F.col("error.pos"))
-    return bad.select("doc_id", F.col("error.code").alias("code"), pos.alias("pos"), (F.col("error.class") == "IllFormed").alias("recoverable"))
+    return bad.select("doc_id", F.col("error.code").alias("code"), F.col("error.pos").alias("pos"), (F.col("error.class") == "IllFormed").alias("recoverable"))
+
+
+@query(f"SELECT doc_id, sum(strlen(raw))::BIGINT AS n_bytes, TRUE AS whole FROM (SELECT o_orderkey::BIGINT AS doc_id, {'CASE o_orderkey % ' + str(len(_BROKEN))} " + " ".join(f"WHEN {i} THEN '" + v[0].replace("\ufeff", "").replace("'", "''").replace("{0}", "' || o_orderkey || '").replace("{1}", "' || o_orderstatus || '") + "'" for i, v in enumerate(_BROKEN.values())) + " END AS raw FROM orders) GROUP BY doc_id")
+def in_row_broken(spark, sf_dir):
+    """§2.14, T1: the in-row reader loses no byte of a broken document."""
+    rows = nested_events(broken_docs(spark, sf_dir))
+    size = F.aggregate("events", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["e"]["raw"]))
+    last = F.element_at("events", -1)
+    return rows.select("doc_id", size.alias("n_bytes"), (last["byte_start"] + F.octet_length(last["e"]["raw"]) == size).alias("whole"))
+
+
+# --- options and writing at size -----------------------------------------------------
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'DoubleHyphenInComment' WHEN o_orderkey % 3 = 1 THEN 'MismatchedEndTag' END AS code, (CASE WHEN o_orderkey % 3 = 0 THEN 7 + length(o_orderkey::VARCHAR) WHEN o_orderkey % 3 = 1 THEN 3 + length(o_orderkey::VARCHAR) END)::BIGINT AS pos FROM orders")
+def all_checks(spark, sf_dir):
+    """Hyphens in comments are errors, blanks in closing tags count."""
+    k, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    xml = F.when(k == 0, F.concat(F.lit("<a><!--"), key, F.lit("--x--></a>"))).when(k == 1, F.concat(F.lit("<a>"), key, F.lit("</a >"))).otherwise(F.concat(F.lit("<a>"), key, F.lit("</a>")))
+    docs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), xml.alias("xml"))
+    bad = events.events(docs, options=replace(ReaderOptions().enable_all_checks(True), trim_markup_names_in_closing_tags=False), kinds=["Error"])
+    return docs.join(bad.select("doc_id", F.col("error.code").alias("code"), F.col("error.pos").alias("pos")), "doc_id", "left").select("doc_id", "code", "pos")
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, chr(65279) || '<o a=\"' || o_orderkey || '\">' || chr(10) || chr(9) || '<s/>' || chr(10) || '</o>' AS xml FROM orders")
+def writer_bom(spark, sf_dir):
+    """A mark, tabs, an end tag from its start, and cleared attributes."""
+    docs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.concat(F.lit('<o a="'), F.col("o_orderkey").cast("string"), F.lit('"><s b="'), "o_orderstatus", F.lit('"/></o>')).alias("xml"))
+    ev = events.events(docs)
+    start = F.concat(F.lit('o a="'), F.col("doc_id").cast("string"), F.lit('"'))
+    content = F.when(F.col("kind") == "End", at.end_of(start)).when(F.col("kind") == "Empty", at.clear_attributes(F.col("name"))).otherwise(F.col("content"))
+    return emit.write_events(ev.withColumn("content", content), WriterOptions(indent_size=1, indent_char="\t", write_bom=True))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, (length(o_orderkey::VARCHAR) + 1)::INTEGER AS n_name, o_orderkey || '</é>' AS rest FROM orders")
+def remainders(spark, sf_dir):
+    """The raw bytes behind an event, and a name's length in bytes."""
+    name = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    docs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.concat(F.lit("<"), name, F.lit(" é='1'/>"), F.col("o_orderkey").cast("string"), F.lit("</é>")).alias("xml"))
+    first = events.with_offsets(events.events(docs, options=LENIENT)).filter("seq = 0")
+    return first.join(docs, "doc_id").select("doc_id", at.name_length(F.col("content")).alias("n_name"), events.remainder(F.col("xml"), F.col("byte_end")).cast("string").alias("rest"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, unnest(['o', 'p:i', 'p:i', 'q:j', 'xml:k', 'o']) AS name, unnest(['Start', 'Start', 'End', 'Empty', 'Empty', 'End']) AS kind, unnest(['urn:o' || o_custkey, 'urn:p', 'urn:p', NULL, 'http://www.w3.org/XML/1998/namespace', 'urn:o' || o_custkey]) AS ns_uri, unnest(['Bound', 'Bound', 'Bound', 'Unknown', 'Bound', 'Bound']) AS ns_status, unnest([FALSE, FALSE, FALSE, FALSE, TRUE, FALSE]) AS reserved FROM orders")
+def ns_events(spark, sf_dir):
+    """Namespaces of start, empty and end events, reserved ones among them."""
+    xml = F.concat(F.lit('<o xmlns="urn:o'), F.col("o_custkey").cast("string"), F.lit('" xmlns:p="urn:p" xmlns:xml="no" xmlns:q=""><p:i>'), F.col("o_orderkey").cast("string"), F.lit("</p:i><q:j/><xml:k/></o>"))
+    ev = events.events(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), xml.alias("xml")), kinds=["Start", "Empty", "End"])
+    el = tree.elements(ev)
+    return namespaces.resolve_events(ev, el, namespaces.bindings(None, el)).select("doc_id", "name", "kind", "ns_uri", "ns_status", text.is_xml_prefix(F.col("name")).alias("reserved"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, '<r d=\"' || o_orderkey || '\"><big>' || (o_orderkey::HUGEINT * 100000000000000000000)::VARCHAR || '</big><half>' || o_orderkey || '.5</half><small>0.0000000' || (1 + o_orderkey % 9) || '</small><f>-0.25</f><i>' || o_orderkey || '</i></r>' AS xml, (o_orderkey + 0.5)::DOUBLE AS half, o_orderkey::DOUBLE AS whole, NULL::DOUBLE AS suffixed, NULL::INTEGER AS pointed, '-Infinity'::DOUBLE < 0 AS endless FROM orders")
+def numbers(spark, sf_dir):
+    """Numbers are written in plain digits and read without suffixes."""
+    k = F.col("o_orderkey")
+    o = _table(spark, sf_dir, "orders")
+    row = F.struct(k.cast("double").alias("@d"), F.concat(k.cast("string"), F.lit("e20")).cast("double").alias("big"), (k + 0.5).cast("double").alias("half"), F.concat((1 + k % 9).cast("string"), F.lit("e-8")).cast("double").alias("small"), F.lit(-0.25).cast("float").alias("f"), k.cast("int").alias("i"))
+    rows = o.select(k.cast("long").alias("doc_id"), row.alias("r"))
+    xml = emit.to_xml(F.col("r"), rows.schema["r"].dataType, "r")
+    texts = F.concat(F.lit("<t><half>"), F.col("doc_id").cast("string"), F.lit(".5</half><whole> "), F.col("doc_id").cast("string"), F.lit(" </whole><suffixed>1.5d</suffixed><pointed>1.0</pointed><endless>-inf</endless></t>"))
+    got = rows.select("doc_id", xml.alias("xml"), bind.read_typed(texts, "half DOUBLE, whole DOUBLE, suffixed DOUBLE, pointed INT, endless DOUBLE").alias("t"))
+    return got.select("doc_id", "xml", "t.half", "t.whole", "t.suffixed", "t.pointed", (F.col("t.endless") < 0).alias("endless"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, o_orderkey + o_custkey AS total, 2 AS n, o_custkey IS NOT NULL AS flag FROM orders")
+def typed_maps(spark, sf_dir):
+    """Maps whose values have a type."""
+    xml = F.concat(F.lit("<r><m><a> "), F.col("o_orderkey").cast("string"), F.lit(" </a><b>"), F.col("o_custkey").cast("string"), F.lit("</b></m><f><x>1</x></f></r>"))
+    r = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), bind.read_typed(xml, "m MAP<STRING, BIGINT>, f MAP<STRING, BOOLEAN>").alias("r"))
+    return r.select("doc_id", (F.col("r.m.a") + F.col("r.m.b")).alias("total"), F.size("r.m").alias("n"), F.col("r.f.x").alias("flag"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, 'num,$text,item,other,$text' AS tags, o_orderkey::INTEGER AS num, 'a & ' || o_orderstatus AS words, o_custkey AS id, o_orderstatus AS note, 1 AS roots FROM orders")
+def mixed_through_schema(spark, sf_dir):
+    """Elements and texts in order, each of its own type."""
+    xml = F.concat(F.lit("<p:r xmlns:p='u'><num> "), F.col("o_orderkey").cast("string"), F.lit(" </num>a &amp; <![CDATA["), "o_orderstatus", F.lit("]]><item id='"), F.col("o_custkey").cast("string"), F.lit("'><note>"), "o_orderstatus", F.lit("</note></item> <p:other/>end</p:r>"))
+    r = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), xml.alias("xml"))
+    r = r.select("doc_id", bind.read_items(F.col("xml"), {"num": "INT", "item": "STRUCT<`@id`: BIGINT, note: STRING>"}).alias("i"), bind.root_count(F.col("xml")).alias("roots"))
+    return r.select("doc_id", F.array_join("i.tag", ",").alias("tags"), F.get("i", F.lit(0))["num"].alias("num"), F.get("i", F.lit(1))["$text"].alias("words"), F.get("i", F.lit(2))["item"]["@id"].alias("id"), F.get("i", F.lit(2))["item"]["note"].alias("note"), "roots")
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, 'a,b,a' AS tags, o_orderkey::BIGINT AS first_a, o_orderstatus AS b, o_custkey::BIGINT AS last_a, 3 AS roots, -1 AS stray FROM orders")
+def several_roots(spark, sf_dir):
+    """A sequence of root elements, and whether a document has but one."""
+    key = F.col("o_orderkey").cast("string")
+    xml = F.concat(F.lit("<?xml version='1.0'?><a>"), key, F.lit("</a> <b>"), "o_orderstatus", F.lit("</b><!-- - --><a>"), F.col("o_custkey").cast("string"), F.lit("</a>\n"))
+    r = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), bind.read_roots(xml, {"a": "BIGINT", "b": "STRING"}).alias("i"), bind.root_count(xml).alias("roots"), bind.root_count(F.concat(F.lit("<a/>"), key)).alias("stray"))
+    item = lambda n: F.get("i", F.lit(n))
+    return r.select("doc_id", F.array_join("i.tag", ",").alias("tags"), item(0)["a"].alias("first_a"), item(1)["b"].alias("b"), item(2)["a"].alias("last_a"), "roots", "stray")
 
 
 def queries() -> dict[str, Query]:
