@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.text import PREDEFINED, entity_map, eol_xml11, let, read_number, resolve_reference, trim_xml, xml_bool, xs_list
 from ..options import ReaderOptions
 from .events import event_array
+from .tree import enclosing, with_depth
 
 #: Options under which ``from_xml`` follows the naming rules of typed reading.
 FROM_XML = {"attributePrefix": "@", "valueTag": "$text", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
@@ -217,10 +218,10 @@ def mixed_content(ev: DataFrame, el: DataFrame, texts: DataFrame) -> DataFrame:
     between elements are left out.
     """
     child = el.filter("parent_seq is not null").select("doc_id", "parent_seq", F.struct(F.col("start_seq").alias("seq"), F.lit("element").alias("kind"), "name", F.lit(None).cast("string").alias("text")).alias("i"))
-    inside = texts.filter(~F.col("is_blank")).select("doc_id", "first_seq", "text")
-    e = el.select("doc_id", "start_seq", "end_seq", "depth")
-    near = inside.join(e, "doc_id").filter((F.col("first_seq") > F.col("start_seq")) & (F.col("end_seq").isNull() | (F.col("first_seq") < F.col("end_seq"))))
-    owner = near.groupBy("doc_id", "first_seq").agg(F.max_by("start_seq", "depth").alias("parent_seq"), F.first("text").alias("text"))
+    deep = with_depth(ev).select("doc_id", F.col("seq").alias("first_seq"), "depth")
+    words = texts.filter(~F.col("is_blank")).select("doc_id", "first_seq", "text").join(deep, ["doc_id", "first_seq"]).filter("depth > 0")
+    openers = el.select("doc_id", F.col("depth").alias("level"), F.col("start_seq").alias("from_seq"), F.col("end_seq").alias("to_seq"), F.struct(F.col("start_seq").alias("parent_seq")).alias("with"))
+    owner = enclosing(words, openers, F.array(F.col("depth") - 1), seq="first_seq")
     word = owner.select("doc_id", "parent_seq", F.struct(F.col("first_seq").alias("seq"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("name"), "text").alias("i"))
     return child.unionByName(word).groupBy("doc_id", "parent_seq").agg(F.array_sort(F.collect_list("i")).alias("items"))
 

@@ -1,9 +1,9 @@
-"""Namespaces: declarations are intervals, resolution is an interval join.
+"""Namespaces: declarations are intervals, resolution looks for the nearest that holds a name.
 
 A declaration holds from its element's start to its end.  A name's binding is the one of
 its prefix declared nearest around it: the greatest depth among the intervals that hold
-the name.  The join is by document and prefix, so it is an equality join with a range
-filter, and Spark may sort, hash or broadcast it.
+the name.  Where names come with their depth, they look for it by a window a level; others
+are joined by document and prefix, with a range filter.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import local_name, prefix
 from .attributes import XSI, attribute_array, attributes
+from .tree import enclosing
 
 # The two namespaces that are always bound.
 XML_NS, XMLNS_NS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
@@ -60,11 +61,21 @@ def resolve(names: DataFrame, bound: DataFrame, name: str = "name", seq: str = "
     rows = names.withColumn("__p", F.coalesce(pre, F.lit("")))
     if not use_default:
         rows = rows.withColumn("__p", F.when(pre.isNotNull(), F.col("__p")))
-    good = bound.filter("error is null").select(F.col("doc_id").alias("__d"), "from_seq", "to_seq", "level", F.col("pos").alias("__bpos"), F.col("prefix").alias("__bp"), F.col("uri").alias("__uri"))
-    hit = rows.join(good, (F.col("doc_id") == F.col("__d")) & (F.col("__p") == F.col("__bp")) & (F.col(seq) >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col(seq) <= F.col("to_seq"))), "left")
-    # the row itself goes through the aggregation, so that it is read once
     rest = [c for c in rows.columns if c not in keys]
-    out = hit.groupBy(*keys).agg(F.max_by("__uri", F.struct("level", "__bpos")).alias("__uri"), *[F.first(c).alias(c) for c in rest])
+    good = bound.filter("error is null")
+    if "depth" in names.columns:
+        # declarations of one element and prefix: the last one counts
+        last = good.groupBy("doc_id", "level", "from_seq", "to_seq", F.col("prefix").alias("__p")).agg(F.max_by("uri", "pos").alias("__uri"))
+        openers = last.select("doc_id", "level", "from_seq", "to_seq", "__p", F.struct("__uri").alias("with"))
+        hit = enclosing(rows.filter("__p is not null"), openers, F.sequence(F.lit(1), F.col("depth") + 1), ["__p"], seq).select(*keys, "level", "__uri", *rest)
+        # names that nothing binds meet nothing
+        hit = hit.unionByName(rows.withColumns({"level": F.lit(0), "__uri": F.lit(None).cast("string")}).select(*keys, "level", "__uri", *rest))
+        out = hit.groupBy(*keys).agg(F.max_by("__uri", "level").alias("__uri"), *[F.first(c).alias(c) for c in rest])
+    else:
+        good = good.select(F.col("doc_id").alias("__d"), "from_seq", "to_seq", "level", F.col("pos").alias("__bpos"), F.col("prefix").alias("__bp"), F.col("uri").alias("__uri"))
+        hit = rows.join(good, (F.col("doc_id") == F.col("__d")) & (F.col("__p") == F.col("__bp")) & (F.col(seq) >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col(seq) <= F.col("to_seq"))), "left")
+        # the row itself goes through the aggregation, so that it is read once
+        out = hit.groupBy(*keys).agg(F.max_by("__uri", F.struct("level", "__bpos")).alias("__uri"), *[F.first(c).alias(c) for c in rest])
     uri = F.when(F.col("__p") == "xml", XML_NS).when(F.col("__p") == "xmlns", XMLNS_NS).otherwise(F.col("__uri"))
     plain = pre.isNull()
     status = F.when(uri.isNotNull() & (uri != ""), "Bound").when(plain, "Unbound").otherwise("Unknown")
@@ -89,9 +100,12 @@ def resolve_attributes(attrs: DataFrame, bound: DataFrame) -> DataFrame:
 
 def in_scope(el: DataFrame, bound: DataFrame) -> DataFrame:
     """(doc_id, start_seq, prefix, uri): declarations seen from each element, shadowed ones left out."""
-    b = bound.filter("error is null").select("doc_id", "from_seq", "to_seq", "level", "pos", "prefix", "uri")
-    hit = el.select("doc_id", "start_seq").join(b, "doc_id").filter((F.col("start_seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("start_seq") <= F.col("to_seq"))))
-    near = hit.groupBy("doc_id", "start_seq", "prefix").agg(F.max_by("uri", F.struct("level", "pos")).alias("uri"))
+    # a declaring element opens its level with all it declares
+    b = bound.filter("error is null").groupBy("doc_id", "level", "from_seq", "to_seq").agg(F.collect_list(F.struct("prefix", "uri", "pos")).alias("all"))
+    openers = b.select("doc_id", "level", "from_seq", "to_seq", F.struct("all").alias("with"))
+    hit = enclosing(el.select("doc_id", "start_seq", "depth"), openers, F.sequence(F.lit(1), F.col("depth") + 1), seq="start_seq")
+    hit = hit.select("doc_id", "start_seq", "level", F.explode("all").alias("b"))
+    near = hit.groupBy("doc_id", "start_seq", F.col("b.prefix").alias("prefix")).agg(F.max_by("b.uri", F.struct("level", "b.pos")).alias("uri"))
     return near.filter("uri <> ''")
 
 

@@ -7,7 +7,7 @@ document, so one shuffle by document serves the whole relation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import ReaderOptions
@@ -31,26 +31,32 @@ def with_depth(ev: DataFrame) -> DataFrame:
 
 
 def _paired(ev: DataFrame) -> DataFrame:
+    """Tags with what follows at their depth: the end tag of an open one, and its place."""
     rows = with_depth(ev).filter(F.col("kind").isin("Start", "Empty", "End") | ((F.col("kind") == "Error") & F.col("raw").startswith("</")))
     rows = rows.filter(~F.col("unmatched"))
     w = Window.partitionBy("doc_id", "depth").orderBy("seq")
-    return rows.withColumns({"__end": F.lead("seq").over(w), "__name": F.lead("name").over(w), "__raw": F.lead("raw").over(w)})
+    return rows.withColumns({"__end": F.lead("seq").over(w), "__name": F.lead("name").over(w), "__raw": F.lead("raw").over(w)} | {f"__{c}": F.lead(c).over(w) for c in ("byte_start", "char_start") if c in ev.columns})
 
 
 def elements(ev: DataFrame) -> DataFrame:
     """(doc_id, start_seq, end_seq, depth, parent_seq, name, attrs_raw, kind) of each element.
 
     ``end_seq`` is the element's own ``seq`` where it is empty, null where it never
-    closes.  ``parent_seq`` is the start of the enclosing element, null at depth 0.
+    closes.  ``parent_seq`` is the start of the enclosing element, null at depth 0.  Of
+    events with offsets the inside's are given too: ``in_byte_start`` and the like.
     """
+    places = []
+    if "byte_end" in ev.columns:
+        places = [F.col("byte_end").alias("in_byte_start"), F.col("char_end").alias("in_char_start"), F.col("__byte_start").alias("in_byte_end"), F.col("__char_start").alias("in_char_end")]
     node = _paired(ev).filter(F.col("kind").isin("Start", "Empty"))
-    node = node.select("doc_id", F.col("seq").alias("start_seq"), F.when(F.col("kind") == "Empty", F.col("seq")).otherwise(F.col("__end")).alias("end_seq"), "depth", "name", "attrs_raw", "kind")
+    node = node.select("doc_id", F.col("seq").alias("start_seq"), F.when(F.col("kind") == "Empty", F.col("seq")).otherwise(F.col("__end")).alias("end_seq"), "depth", "name", "attrs_raw", "kind", *places)
     # a start opens the level below itself; the last opener before a node is its parent
     level = F.explode(F.when(F.col("kind") == "Start", F.array(F.struct(F.col("depth").alias("at"), F.lit(False).alias("opens")), F.struct((F.col("depth") + 1).alias("at"), F.lit(True).alias("opens")))).otherwise(F.array(F.struct(F.col("depth").alias("at"), F.lit(False).alias("opens")))))
     rows = node.withColumn("__l", level)
     w = Window.partitionBy("doc_id", F.col("__l.at")).orderBy("start_seq")
     rows = rows.withColumn("parent_seq", F.last(F.when(F.col("__l.opens"), F.col("start_seq")), ignorenulls=True).over(w))
-    return rows.filter(~F.col("__l.opens")).select("doc_id", "start_seq", "end_seq", "depth", "parent_seq", "name", "attrs_raw", "kind")
+    more = [c for c in node.columns if c.startswith("in_")]
+    return rows.filter(~F.col("__l.opens")).select("doc_id", "start_seq", "end_seq", "depth", "parent_seq", "name", "attrs_raw", "kind", *more)
 
 
 def check_ends(ev: DataFrame, options: ReaderOptions = ReaderOptions()) -> DataFrame:
@@ -83,9 +89,12 @@ def spans(ev: DataFrame, el: DataFrame, name: str | None = None) -> DataFrame:
     ``MissingEndTag``.  Elements without inside (``<a/>``) are left out.
     """
     want = el.filter("kind = 'Start'") if name is None else el.filter((F.col("kind") == "Start") & (F.col("name") == name))
-    a = ev.select("doc_id", F.col("seq").alias("start_seq"), F.col("byte_end").alias("byte_start"), F.col("char_end").alias("char_start"))
-    b = ev.select("doc_id", F.col("seq").alias("end_seq"), F.col("byte_start").alias("byte_end"), F.col("char_start").alias("char_end"))
-    out = want.select("doc_id", "start_seq", "end_seq", "name").join(a, ["doc_id", "start_seq"]).join(b, ["doc_id", "end_seq"], "left")
+    if "in_byte_start" in el.columns:  # elements of events with offsets know them
+        out = want.select("doc_id", "start_seq", "end_seq", "name", *[F.col(f"in_{c}").alias(c) for c in ("byte_start", "char_start", "byte_end", "char_end")])
+    else:
+        a = ev.select("doc_id", F.col("seq").alias("start_seq"), F.col("byte_end").alias("byte_start"), F.col("char_end").alias("char_start"))
+        b = ev.select("doc_id", F.col("seq").alias("end_seq"), F.col("byte_start").alias("byte_end"), F.col("char_start").alias("char_end"))
+        out = want.select("doc_id", "start_seq", "end_seq", "name").join(a, ["doc_id", "start_seq"]).join(b, ["doc_id", "end_seq"], "left")
     return out.withColumn("error", F.when(F.col("end_seq").isNull(), "MissingEndTag")).drop("end_seq")
 
 
@@ -96,8 +105,34 @@ def inner_text(docs: DataFrame, sp: DataFrame, doc_id: str = "doc_id", xml: str
     return sp.join(d, "doc_id").withColumn("inner", text).drop("__xml")
 
 
+def enclosing(rows: DataFrame, openers: DataFrame, levels: Column, by: list[str] = [], seq: str = "seq") -> DataFrame:  # noqa: B006
+    """Rows with each of ``openers`` whose interval holds them, by level: no join.
+
+    ``openers`` has (doc_id, level, from_seq, to_seq, ``by``, with what else is wanted in a
+    struct ``with``); intervals of one level and ``by`` do not overlap, so only the last one
+    that begins before a row can hold it.  ``levels``: an array of the levels at which a row
+    looks.  A row at the very start of an interval is inside.
+    """
+    ask = rows.select("doc_id", F.explode(levels).alias("level"), *by, F.col(seq).alias("__at"), F.struct(*rows.columns).alias("__row"))
+    tell = openers.select("doc_id", "level", *by, F.col("from_seq").alias("__at"), F.struct("to_seq", "with").alias("__o"))
+    both = ask.withColumn("__o", F.lit(None).cast(tell.schema["__o"].dataType)).unionByName(tell.withColumn("__row", F.lit(None).cast(ask.schema["__row"].dataType)))
+    # an opener comes before the rows at its own place
+    w = Window.partitionBy("doc_id", "level", *by).orderBy("__at", F.col("__o").isNull())
+    held = both.withColumn("__in", F.last("__o", ignorenulls=True).over(w)).filter("__row is not null and __in is not null")
+    held = held.filter(F.col("__in.to_seq").isNull() | (F.col("__at") <= F.col("__in.to_seq")))
+    return held.select("__row.*", "level", "__in.with.*")
+
+
 def inside(rows: DataFrame, el: DataFrame, seq: str = "seq") -> DataFrame:
-    """Rows joined with every element whose interval holds them (strictly inside)."""
+    """Rows joined with every element whose interval holds them (strictly inside).
+
+    Rows with their ``depth`` are met by a window a level, in proportion to the result;
+    without it by a join over the whole document.
+    """
+    if "depth" in rows.columns:
+        openers = el.select("doc_id", F.col("depth").alias("level"), F.col("start_seq").alias("from_seq"), F.col("end_seq").alias("to_seq"), F.struct(F.col("start_seq").alias("of_seq"), F.col("name").alias("of_name")).alias("with"))
+        got = enclosing(rows.filter("depth > 0"), openers, F.sequence(F.lit(0), F.col("depth") - 1), seq=seq)
+        return got.filter(F.col(seq) > F.col("of_seq")).drop("level")
     e = el.select("doc_id", F.col("start_seq").alias("of_seq"), F.col("end_seq").alias("__to"), F.col("name").alias("of_name"))
     return rows.join(e, "doc_id").filter((F.col(seq) > F.col("of_seq")) & (F.col("__to").isNull() | (F.col(seq) < F.col("__to")))).drop("__to")
 

@@ -226,7 +226,7 @@ def nested_readers(spark, sf_dir):
     """Items counted inside the lists that hold them, at any depth."""
     el = tree.elements(_page_events(spark, sf_dir))
     lists = el.filter("name = 'ul' and end_seq is not null")
-    items = el.filter("name = 'li'").select("doc_id", F.col("start_seq").alias("seq"))
+    items = el.filter("name = 'li'").select("doc_id", F.col("start_seq").alias("seq"), "depth")
     return tree.inside(items, lists).groupBy("doc_id", F.col("of_seq").alias("start_seq")).agg(F.count("*").alias("n_items"))
 
 
