@@ -414,3 +414,18 @@ def test_empty_items(spark):
 
 def test_string_buffers_of_nulls():
     assert string_buffers(pa.array([None, "a"]))[1].tolist() == [0, 0, 1]
+
+
+def test_empty_and_clashing(spark):
+    none = frame(spark, [(1, "x")]).filter("doc_id < 0")
+    assert near_duplicates(none).count() == 0
+    assert similar_documents(none).count() == 0
+    assert hamming_links(spark.createDataFrame([], "fp long, rep long")).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "k", "n", "f")], "doc_id long, text string, kept_text string, n_words string, fp string")
+    (row,) = substring_dedup(clash).collect()
+    assert (row.kept_text, row.n_words, row.fp) == ("a b", 2, "f")
+    assert near_duplicates(clash).columns == ["doc_id", "fp", "component_id"]
+    with pytest.raises(ValueError):
+        substring_dedup(clash, keep=["gone"])
+    with pytest.raises(TypeError):
+        near_duplicates(clash.select(clash.doc_id.cast("string"), "text"))

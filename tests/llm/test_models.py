@@ -319,3 +319,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean <= set(seen[3]) and 70 not in seen[3]
     last = {r.doc_id: r.n_tokens for r in frame.collect()}
     assert set(last) == set(seen[3]) and last[90] == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_columns_and_rows(spark, tmp_path):
+    """Further columns, named like results, and rows with nulls everywhere."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string"
+    rows = [(1, "one two three four five six", "en", None, None, "s", "i"), (None, None, None, None, None, None, None), (2, None, None, None, None, None, None), (1, "another text on the same id", None, "x", 7, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns
+        out.write.parquet(str(tmp_path / f"s{n}"))
+        frame = spark.read.parquet(str(tmp_path / f"s{n}"))
+    assert sorted(map(tuple, frame.collect()), key=repr) == sorted(rows, key=repr)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4

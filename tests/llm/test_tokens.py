@@ -168,3 +168,9 @@ def test_token_files(spark, tmp_path, word):
         assert r.ids in texts[r.doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
         start += r.n_tokens
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "none")
+    repair.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, WORD)
+    assert repair.read_token_files(spark, path).count() == 0

@@ -250,3 +250,9 @@ def whole_number(df: DataFrame, name: str) -> Column:
     if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
         raise TypeError(f"column {name} holds ids as {kind}, not as integers")
     return df[name].cast("long")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that only this job wrote and read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-#: Nodes of more edges than this, and than the share below of all, are joined by broadcast.
+#: Keys of more rows than this, and than the share below of all, are joined by broadcast.
 HOT, SHARE = 256, 50_000
 
 
-def _with_least(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
-    """``rows`` (u, v) with the ``m`` of their node in ``low`` (u, m, n).
+def spread_join(rows: DataFrame, low: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
+    """``rows`` with what ``low`` has for their key; ``low`` has each key once, and ``n`` of its rows.
 
-    A node's edges stay where they are if they are many: such nodes are fewer than twice
-    ``SHARE``, as the edges (``n``) have but so many ends, and go to all executors.
+    Rows of a key stay where they are if they are many: such keys are fewer than twice
+    ``SHARE``, as there are but ``total`` rows, and go to all executors.
     """
-    bound = max(HOT, n // SHARE)
-    hot = F.broadcast(low.filter(F.col("n") > bound).select("u", "m"))
-    cold = low.filter(F.col("n") <= bound).select("u", "m")
-    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
+    bound = max(HOT, total // SHARE)
+    hot = F.broadcast(low.filter(F.col(n) > bound).drop(n))
+    cold = low.filter(F.col(n) <= bound).drop(n)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(cold, on))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,9 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while n:
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = checkpoint(_with_least(both, low, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = checkpoint(spread_join(both, low, "u", n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        pairs = _with_least(large, low, n)
+        pairs = spread_join(large, low, "u", n)
         small = pairs.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(pairs.select("u", F.col("m").alias("v")))
         e = checkpoint(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, ready, row_slices, span_hashes, string_buffers, trim, whole_number, window_hashes, word_bounds
-from .components import components
+from .components import components, spread_join
 
 #: Sets of one key that one task compares; more are dealt out in chunks.
 CHUNK = 2048
@@ -284,19 +284,20 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
 
 
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text_sha256, component_id): near-duplicates by the Jaccard similarity of shingle sets.
+    """(doc_id, text_sha256, component_id, component_key): near-duplicates by the Jaccard similarity of shingle sets.
 
     Two texts are linked where, and only where, their sets of shingles of ``size`` words
     (A-Z lower-cased) have at least ``similarity``; ``component_id`` is the least id
     reachable over links, the row's own included.  Fewer words than ``size`` are one
     shingle; null and wordless texts are linked with each other.  Null ids get no
     component and link nothing; repeated rows each get theirs, and rows of one id with
-    other texts are texts of their own, told by ``text_sha256`` (null: the empty text).
+    other texts are texts of their own, told by ``text_sha256`` (null: the empty text).  Such
+    ids may name several components, which ``component_key`` tells apart.
     """
     ident = whole_number(df, doc_id)
     docs = df.select(ident.alias("doc_id"), df[text].alias("text"), F.sha2(F.coalesce(df[text], F.lit("")), 256).alias("text_sha256"))
     known = checkpoint(_digests(docs, size))
-    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits", "few")]))
+    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "few")]))
     rows = _heads(docs.filter("doc_id is not null"), size, similarity).repartition("key").dropDuplicates(["key", "sid"])
     every = Window.partitionBy("key")
     held = checkpoint(rows.withColumn("met", F.count("*").over(every)).withColumn("low", F.max(F.struct("share", "sid", "n")).over(every)).filter("met > 1").drop("share"))
@@ -305,11 +306,14 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("few").alias("bits"))
     rest = _apart(held.drop("low").join(c, "sid"), similarity, chunk)
     comp = components(edges.union(_similar(docs, distinct, rest, size, similarity)))
-    sets = distinct.join(comp, distinct.sid == comp.node, "left").select("digest", "rep", F.coalesce("component", "sid").alias("c"))
+    sets = checkpoint(distinct.join(comp, distinct.sid == comp.node, "left").select("digest", "rep", "copies", F.coalesce("component", "sid").alias("c")))
     # a component is named by its least id
-    least = sets.groupBy("c").agg(F.min("rep").alias("__c"))
-    out = known.select("doc_id", "text_sha256", "digest").join(sets.join(least, "c").select("digest", "__c"), "digest", "left")
-    return out.select("doc_id", "text_sha256", F.when(F.col("doc_id").isNotNull(), F.col("__c")).alias("component_id"))
+    least = sets.groupBy("c").agg(F.min("rep").alias("__c"), F.count("*").alias("n"))
+    named = checkpoint(spread_join(sets, least, "c", sets.count()).select("digest", "__c", "c", F.col("copies").alias("n")))
+    rows = known.filter("doc_id is not null").select("doc_id", "text_sha256", "digest")
+    out = spread_join(rows, named, "digest", rows.count()).select("doc_id", "text_sha256", F.col("__c").alias("component_id"), F.col("c").alias("component_key"))
+    none = F.lit(None).cast("long")
+    return out.unionByName(known.filter("doc_id is null").select("doc_id", "text_sha256", none.alias("component_id"), none.alias("component_key")))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -319,11 +323,13 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     rows with one id and text the first one Spark meets stays.
     """
     found = checkpoint(similar_documents(df, doc_id, text, size, similarity).filter("doc_id is not null"))
-    # of rows of the least id, with several texts in one component, the least digest stays
-    ahead = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_sha256")).alias("k"))
-    copies = found.groupBy("doc_id", "text_sha256", "component_id").agg(F.count("*").alias("__copies"))
-    key = F.struct("doc_id", "text_sha256")
-    marked = checkpoint(copies.join(ahead, "component_id").withColumn("__gone", key != F.col("k")).filter("__gone or __copies > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__gone"))
+    copies = found.groupBy("doc_id", "text_sha256", "component_id", "component_key").agg(F.count("*").alias("__copies"))
+    # of several texts of the least id in one component, the least digest stays
+    heads = copies.filter("doc_id = component_id")
+    first = heads.groupBy("component_key").agg(F.min("text_sha256").alias("__first"))
+    heads = heads.join(first, "component_key").withColumn("__gone", F.col("text_sha256") != F.col("__first")).drop("__first")
+    rest = copies.filter("doc_id <> component_id").withColumn("__gone", F.lit(True))
+    marked = checkpoint(heads.unionByName(rest).filter("__gone or __copies > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__gone"))
     few = F.broadcast if marked.count() <= BROADCAST else (lambda d: d)
     sha = F.sha2(F.coalesce(df[text], F.lit("")), 256)
 

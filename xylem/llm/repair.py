@@ -435,7 +435,11 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, doc_id: str = "
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """Documents of token files: doc_id, ``start`` (ids before it), n_tokens, ids_crc32 and ``ids``."""
+    """Documents of token files: doc_id, ``start`` (ids before it), n_tokens, ids_crc32 and ``ids``.
+
+    Every row that was written comes back, null and repeated ids included; files of an empty
+    table give none.
+    """
     ship_package(spark)
     files = spark.read.parquet(path)
     fields = "part int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")

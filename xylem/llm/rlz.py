@@ -169,7 +169,7 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
 
 
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, factors: bool = True, keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, factors: bool = True, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Cut each word covered by a window that also starts in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; windows are ``window`` consecutive words of one
@@ -183,14 +183,14 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     A null text has no words and an empty ``kept_text``; shorter texts than a window
     stay whole.  Rows with a null id keep all words and are no source.  Rows of the same
     id are one document for this purpose: they cut nothing from each other.  An input
-    column named like a result gives way.  Words are compared before anything is cut; a
+    column named like a result gives way (``prefix`` renames the results).  Words are compared before anything is cut; a
     cut could be missed only where two different windows share a hash of 62 bits or more.
     """
-    names = ["kept_text", "n_words", "n_removed"] + ["factors"] * factors
+    names = [prefix + n for n in ["kept_text", "n_words", "n_removed"] + ["factors"] * factors]
     kept = within(df, names, keep)
-    fields = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType())]
     if factors:
-        fields.append(T.StructField("factors", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "source_id", "source_start")]))))
+        fields.append(T.StructField(names[3], T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "source_id", "source_start")]))))
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     n_work = block_count(df)
     bits = min(MOST_BITS, max(LEAST_BITS, (n_work // WORK_PER_SHARE).bit_length()))
@@ -325,12 +325,12 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         gone = np.cumsum(cover)[:-1] > 0
         removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[w.word0, len(gone)]])
         out = {c: table.column(f"__c{i}") for i, c in enumerate(kept)}
-        out["kept_text"] = _join(w, gone, w.word0)
-        out["n_words"], out["n_removed"] = pa.array(w.words), pa.array(removed)
+        out[names[0]] = _join(w, gone, w.word0)
+        out[names[1]], out[names[2]] = pa.array(w.words), pa.array(removed)
         if factors:
             per = np.r_[0, np.cumsum(np.bincount(row, minlength=len(w.words)))].astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array(x) for x in (start, length, ref.doc[passage], ref.place[passage] + word)], names=["start", "length", "source_id", "source_start"])
-            out["factors"] = pa.ListArray.from_arrays(pa.array(per), spans)
+            out[names[3]] = pa.ListArray.from_arrays(pa.array(per), spans)
         return pa.table(out)
 
     def trimmed(f):

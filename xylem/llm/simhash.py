@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, ready, row_slices, string_buffers, trim, whole_number, within
-from .components import components
+from .components import components, spread_join
 
 #: Fingerprints of one key that one task compares; more are dealt out in chunks.
 CHUNK = 2048
@@ -104,7 +104,8 @@ def forest(fps: np.ndarray, d: int) -> list[tuple[int, int]]:
 def hamming_links(distinct: DataFrame, d: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between distinct (fp, rep) rows that keep every component of the links.
 
-    ``rep`` names the fingerprint's class in the result.
+    ``rep`` names the fingerprint's class in the result.  Rows without a fingerprint are not
+    expected; an empty table has no edges, repeated rows give loops at most.
     """
     n = distinct.count()
     m = d + 2
@@ -120,7 +121,9 @@ def _links(rows: DataFrame, size: int, d: int, chunk: int = CHUNK) -> DataFrame:
     """Edges among rows (fp, rep, key) that share a key and differ in at most ``d`` bits.
 
     ``fp`` is a long, or binary of a multiple of eight bytes.  Of small keys every link is
-    given, of larger ones a spanning forest.
+    given, of larger ones a spanning forest.  A key's rows beyond ``chunk`` are dealt out
+    before they meet; all pairs of its chunks are compared, as every choice of fewer would
+    lose links.
     """
     # keys of more rows than a chunk: fewer than size / chunk
     hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > chunk))
@@ -193,9 +196,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     docs = df.select(whole_number(df, doc_id).alias("doc_id"), df[text].alias("text"))
     fps = checkpoint(fingerprints(docs, size=size, seed=seed, keep=["doc_id"]))
-    distinct = checkpoint(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # an id on several rows may stand for several fingerprints: they are one node
+    distinct = checkpoint(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    # an id on several rows may stand for several fingerprints: they are one node here, as
+    # the id is what reaches others
     comp = components(hamming_links(distinct, d))
-    classes = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("__c"))
-    out = fps.join(classes, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("__c")).alias("component_id"))
+    classes = checkpoint(distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"))
+    known = fps.filter("doc_id is not null")
+    out = spread_join(known, classes, "fp", known.count()).select("doc_id", "fp", "component_id")
+    return out.unionByName(fps.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))

@@ -123,16 +123,17 @@ def fit(texts: list[str], y: list[int], weight: list[float], bits: int = BUCKETS
     return w.astype(np.float32), float(b)
 
 
-def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text", sentences: bool = True, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text", sentences: bool = True, threshold: float = 0.5, keep: list[str] | None = None, into: str = "score") -> DataFrame:
     """Add ``score`` (noisy-or over the whole text) and ``offending``.
 
     ``offending`` lists (start, end, score) of the sentences at or above ``threshold``,
     as byte places in the UTF-8 text.  A null, empty or wordless text scores zero.  Every
-    row gives one row; an input column named like a result gives way.
+    row gives one row; an input column named like a result gives way (``into`` renames the
+    score).
     """
-    names = ["score"] + ["offending"] * sentences
+    names = [into] + ["offending"] * sentences
     kept = within(df, names, keep)
-    fields = [T.StructField("score", T.DoubleType())]
+    fields = [T.StructField(into, T.DoubleType())]
     if sentences:
         fields.append(T.StructField("offending", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))))
     schema = T.StructType([df.schema[c] for c in kept] + fields)
