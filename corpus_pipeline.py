@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.llm.bpe import bpe_encode
-from xylem.llm.common import read
+from xylem.llm.common import read, remove
 from xylem.llm.decontaminate import drop_leaks
 from xylem.llm.jaccard import one_of_each
 from xylem.llm.queries import vocabulary
@@ -26,8 +26,8 @@ TOXIC = 0.5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score stays below ``TOXIC``; null and empty texts stay."""
     weights, bias = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, weights, bias, sentences=False)
-    return scored.filter(F.col("score") < TOXIC).select(*docs.columns)
+    scored = score_toxicity(docs, weights, bias, sentences=False, into="__toxic")
+    return scored.filter(F.col("__toxic") < TOXIC).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +40,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages cut, the rest joined by blanks; other texts untouched."""
-    out = substring_dedup(docs, factors=False)
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    """Words of repeated passages cut, the rest joined by blanks; other texts untouched.
+
+    Null and empty texts stay as they are; rows of one id cut nothing from each other; rows
+    without an id keep all words.
+    """
+    out = substring_dedup(docs, factors=False, prefix="__")
+    cut = F.col("__n_removed") > 0
+    text = F.when(cut, F.col("__kept_text")).otherwise(F.col("text"))
+    size = F.when(cut, F.char_length("__kept_text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks; null and empty texts stay, equal rows go together."""
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
+    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row; a null text has no ids."""
     return bpe_encode(docs, vocabulary("word_bpe_49k.json"), digests=True, keep=["doc_id", "lang", "source"])
 
 
@@ -66,9 +70,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # the next stage reads this one's files alone
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
