@@ -151,9 +151,7 @@ class Items:
             self.parts[q] = (sieve, key, *(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)))
         rng = np.random.default_rng(20)
         self.walks = walks_for(recall)
-        steps = 3 * int(self.n.max(initial=1))
         # walks and keys follow from the words' hashes, so that every pass has the same
-        self.salt = mix(np.arange(1, self.walks + 1, dtype=np.uint64)[:, None] << np.uint64(40) | np.arange(steps, dtype=np.uint64)) | np.uint64(1)
         self.code = np.ones(int(number.max(initial=0)) + 1, np.uint64)
         self.code[self.numbers] = self.hashes | np.uint64(1)
         # a table samples the walk up to its own reach: edits drive walks apart, so that
@@ -202,6 +200,7 @@ class Items:
                 spot = np.floor(self.place[1][w][None] * reach).astype(np.int64).ravel()
                 by = np.argsort(spot, kind="stable")
                 cut = np.searchsorted(spot[by], np.arange(int(spot.max(initial=-1)) + 2))
+                salt = mix(np.uint64((w + 1) << 40) | np.arange(len(cut) - 1, dtype=np.uint64)) | np.uint64(1)
                 got = np.zeros(len(spot), np.uint64)
                 # every second walk starts at the window's end and goes back
                 back = w % 2 == 1
@@ -216,7 +215,7 @@ class Items:
                         slot = by[cut[j] : cut[j + 1]]
                         got[slot] = code[here[slot // (TABLES * PLACES)]]
                     c = code[here]
-                    move = np.where(c == 0, 1, ((c * self.salt[w, j]) >> np.uint64(63)).astype(np.int64))
+                    move = np.where(c == 0, 1, ((c * salt[j]) >> np.uint64(63)).astype(np.int64))
                     at[:live] += -move if back else move
                 out[:, w * TABLES : (w + 1) * TABLES] = _keys(got.reshape(len(pick), TABLES, PLACES), size)
             yield pick, out
