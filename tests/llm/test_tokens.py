@@ -115,14 +115,15 @@ def test_small_memory_keeps_results(word):
 
 
 def test_chunks_of_one_hash(word, monkeypatch):
-    """Chunks that share a hash get their own ids all the same."""
+    """Chunks that share a hash get their own ids all the same (up to eight bytes none do)."""
     import pyarrow as pa
 
     from xylem.llm.common import string_buffers
 
-    monkeypatch.setattr(repair, "span_hashes", lambda raw, a, b: np.full(len(a), 9, np.uint64))
+    real = repair.span_hashes
+    monkeypatch.setattr(repair, "span_hashes", lambda raw, a, b: np.where(b - a > 8, np.uint64(9), real(raw, a, b)))
     lib = repair.LibraryCodec(open(WORD, "rb").read())
-    for texts in (["the cat", "cat", "", "a  dog sat"], ["sat the", "thethethethe x"]):
+    for texts in (["the catcatcatcat", "dogdogdogdog", "", "a  catcatcatcats sat"], ["sat catcatcatcat", "thethethethe x"]):
         ids, per = lib.encode(*string_buffers(pa.array(texts)))
         want = [word.encode(t, add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == [i for w in want for i in w] and per.tolist() == [len(w) for w in want]

@@ -216,7 +216,10 @@ def same_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size:
 
 
 def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A number for each span; equal numbers where, and only where, the bytes are equal."""
+    """A number for each span; equal numbers where, and only where, the bytes are equal.
+
+    ``hashes`` are those of ``span_hashes``.
+    """
     if not len(hashes):
         return np.zeros(0, np.int64)
     _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
@@ -224,7 +227,8 @@ def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
     rep = first[ids]
     size = ends - starts
     same = size == size[rep]
-    at = np.flatnonzero(same)
+    # up to eight bytes, equal sizes and hashes are equal bytes
+    at = np.flatnonzero(same & (size > 8))
     eight = lanes(raw)
     same[at] = same_spans(eight, starts[at], eight, starts[rep[at]], size[at])
     known: dict[bytes, int] = {}

@@ -36,7 +36,9 @@ MAGIC, VERSION = b"XYRP", 1
 #: Ids gathered before a shard is closed (a longer document is still kept whole).
 SHARD_IDS = 2 << 20
 #: Rules added by one round at most.
-ROUND_RULES = 4000
+ROUND_RULES = 8000
+#: Share of the symbols that the last round with narrow symbols may leave.
+GIVE_UP = 0.82
 #: Uses that pay for a rule (two symbols and its length), by the bytes of a symbol.
 LEAST_USES = {2: 5, 4: 4}
 #: A control character: a piece, and a token, of its own.
@@ -50,20 +52,22 @@ def grammar(ids: np.ndarray, base: int, end: int, per_round: int = ROUND_RULES,
     """(rules, body): Re-Pair over ``ids``; symbol ``base + i`` stands for ``rules[i]``.
 
     Rounds go on until no pair is used often enough to pay for its rule.  Where symbols of
-    two bytes run out, they go on with four bytes; the smaller result counts.
+    two bytes run out, they go on with four bytes, unless the last round says that pairs are
+    too rare by then to make up for that (it left more than ``GIVE_UP`` of the body); the
+    smaller result counts.
     """
     if base >= 1 << 16:
         return _rounds(ids, [], base, end, 4, per_round, least)[:2]
-    rules, body, full = _rounds(ids, [], base, end, 2, per_round, least)
-    if full:
+    rules, body, left = _rounds(ids, [], base, end, 2, per_round, least)
+    if left <= GIVE_UP:
         more, rest, _ = _rounds(body, [rules], base, end, 4, per_round, least)
         if 4 * len(rest) + 12 * len(more) < 2 * len(body) + 8 * len(rules):
             return more, rest
     return rules, body
 
 
-def _rounds(seq: np.ndarray, rules: list[np.ndarray], base: int, end: int, width: int, per_round: int, least: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rules and body with symbols of ``width`` bytes, and whether these ran out.
+def _rounds(seq: np.ndarray, rules: list[np.ndarray], base: int, end: int, width: int, per_round: int, least: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rules and body with symbols of ``width`` bytes; if these ran out, what the last round left.
 
     Each round replaces the most frequent pairs together.  Where pairs overlap, the
     left one goes first.
@@ -75,7 +79,7 @@ def _rounds(seq: np.ndarray, rules: list[np.ndarray], base: int, end: int, width
     seq = seq.astype(kind)
     rules = [r.astype(kind) for r in rules]
     made = sum(map(len, rules))
-    full = False
+    left, full = 1.0, False
     while True:
         take = min(per_round, room - made)
         full = take <= 0
@@ -116,10 +120,11 @@ def _rounds(seq: np.ndarray, rules: list[np.ndarray], base: int, end: int, width
         seq[hit] = (rule[hit] + (base + made)).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
+        before, seq = len(seq), seq[keep]
         rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], axis=1))
         made += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), kind)), seq, full
+        left = len(seq) / before if take == per_round else left
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), kind)), seq, left if full else 1.0
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -235,7 +240,7 @@ class Slots:
         self.keys = np.zeros(1 << bits, np.uint64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it is not there.  Keys are odd, so never zero."""
+        """Slot of each key, -1 where it is not there.  No key is zero."""
         at = (h >> self.shift).astype(np.int32)
         got = self.keys[at]
         out = np.where(got == h, at, np.int32(-1))
@@ -293,8 +298,8 @@ class LibraryCodec:
         self.count = np.zeros(1 << self.bits, np.int32)
         self.pool = np.zeros(1 << 20, self.kind)
         # bytes of the chunks themselves, with room for a look at eight of them
-        self.spot = np.zeros(1 << self.bits, np.int64)
-        self.size = np.zeros(1 << self.bits, np.int64)
+        self.spot = np.zeros(1 << self.bits, np.uint32)
+        self.size = np.zeros(1 << self.bits, np.uint32)
         self.text = np.zeros(1 << 22, np.uint8)
         self.used = self.known = self.filled = 0
 
@@ -343,7 +348,8 @@ class LibraryCodec:
         if self.known > self.limit // 2:
             self.clear()
         starts, ends, first = word_bounds(raw, offsets)
-        h = span_hashes(raw, starts, ends) | np.uint64(1)
+        h = span_hashes(raw, starts, ends)
+        h[h == 0] = 1  # no key is zero
         at = self.slots.find(h)
         gap = np.flatnonzero(at < 0)
         if len(gap):
@@ -367,9 +373,11 @@ class LibraryCodec:
         lag = self.start[at] - (stop - n)
         ids = self.pool[np.repeat(lag, n) + np.arange(total)]
         per = np.diff(np.concatenate([[0], stop])[first])
-        same = ends - starts == self.size[at]
-        near = np.flatnonzero(same)
-        same[near] = same_spans(lanes(raw), starts[near], np.ndarray(len(self.text) - 8, "<u8", self.text, strides=(1,)), self.spot[at[near]], self.size[at[near]])
+        size = ends - starts
+        same = size == self.size[at]
+        # up to eight bytes, equal sizes and hashes are equal bytes
+        near = np.flatnonzero(same & ((size > 8) | (h == 1)))
+        same[near] = same_spans(lanes(raw), starts[near], np.ndarray(len(self.text) - 8, "<u8", self.text, strides=(1,)), self.spot[at[near]], size[near])
         if same.all():
             return ids, per
         rows = np.split(ids, np.cumsum(per)[:-1])
