@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import block_count, checkpoint_dir, lanes, row_slices, same_spans, span_hashes, string_buffers, whole_number, word_bounds
+from .common import block_count, checkpoint_dir, lanes, row_slices, same_spans, span_hashes, string_buffers, trim, whole_number, word_bounds
 from .vocab import ship
 
 MAGIC, VERSION = b"XYRP", 1
@@ -288,7 +288,7 @@ class LibraryCodec:
         self.t.no_padding()
         self.vocab = self.t.get_vocab_size(with_added_tokens=True)
         self.mark = self.t.encode(_APART, add_special_tokens=False).ids[0]
-        self.limit, self.bits = chunks, (2 * chunks).bit_length()
+        self.limit, self.bits = chunks, chunks.bit_length()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         self.clear()
 
@@ -424,6 +424,7 @@ def write_token_files(df: DataFrame, path: str, vocab_path: str, doc_id: str = "
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], names=["part", "before", "n_ids", "payload"])
             before += total
             held, docs, pieces, sizes = 0, [], [], []
+            trim()
             return out
 
         for batch in batches:
