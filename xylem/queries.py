@@ -28,11 +28,21 @@ _SQL: dict[str, str] = {}
 LENIENT = ReaderOptions(check_end_names=False, allow_unmatched_ends=True)
 
 
+_PEOPLE = "people AS (SELECT c_custkey AS n_nationkey, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _peopled(sql: str) -> str:
+    """A query over ``people`` with what that is."""
+    if "FROM people" not in sql:
+        return sql
+    return f"WITH {_PEOPLE}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {_PEOPLE} {sql}"
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = _peopled(sql)
         return f
 
     return add
@@ -50,9 +60,16 @@ def _page_events(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return events.events(pages(spark, sf_dir), options=LENIENT, **kw)
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each customer, with the name of the nation: (n_nationkey: the customer's, n_name, n_regionkey)."""
+    n = _table(spark, sf_dir, "nation")
+    rows = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("c_custkey").alias("n_nationkey"), "n_name", "n_regionkey")
+
+
 def nation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small document with namespaces, CDATA, PI, references and empty tags for each nation."""
-    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """A small document with namespaces, CDATA, PI, references and empty tags for each customer."""
+    n = people(spark, sf_dir).join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     xml = F.concat(
         F.lit('<?xml version="1.0"?><nation xmlns="urn:geo" xmlns:r="urn:reg" key="'), F.col("n_nationkey").cast("string"),
         F.lit("\" tag='a&lt;b'><?pi go?><name>"), F.col("n_name"), F.lit(" &amp; co</name><r:region r:id=\""), F.col("r_regionkey").cast("string"),
@@ -76,7 +93,7 @@ _TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![dD][^>]*>|<(?:[^>"'
 _WS = r"[ \t\r\n]"
 _PAGES = "docs AS (SELECT page_id AS doc_id, html AS xml FROM pages)"
 _NATIONS = """docs AS (SELECT n_nationkey::BIGINT AS doc_id, '<?xml version="1.0"?><nation xmlns="urn:geo" xmlns:r="urn:reg" key="' || n_nationkey || '" tag=''a&lt;b''><?pi go?><name>' || n_name || ' &amp; co</name><r:region r:id="' || r_regionkey || '"><![CDATA[' || r_name || ']]><x xmlns="" a="1"/></r:region><!-- end --><e/><list>1 2  ' || n_nationkey || '</list></nation>' AS xml
-  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+  FROM people JOIN region ON n_regionkey = r_regionkey)"""
 _ORDERS = """docs AS (SELECT o_orderkey::BIGINT AS doc_id, '<order id="' || o_orderkey || '" done="' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '0' END || '"><cust> ' || o_custkey || ' </cust><status>' || o_orderstatus || '</status><note/><keys>' || o_orderkey || ' ' || o_custkey || '</keys></order>' AS xml FROM orders)"""
 _TOKS = f""", t0 AS (SELECT doc_id, regexp_extract_all(xml, '{_TOKEN}') AS a FROM docs),
 t AS (SELECT doc_id, unnest(a) AS raw, (generate_subscripts(a, 1) - 1)::INTEGER AS seq FROM t0),
@@ -326,7 +343,7 @@ def ns_resolve(spark, sf_dir):
     return namespaces.resolve_elements(el, namespaces.bindings(ev, el)).select("doc_id", "start_seq", "name", "ns_uri", "ns_status")
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, 'r:id' AS key, 'urn:reg' AS ns_uri, 'Bound' AS ns_status FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'r:id' AS key, 'urn:reg' AS ns_uri, 'Bound' AS ns_status FROM people")
 def ns_attributes(spark, sf_dir):
     """Attributes take no default namespace."""
     ev = events.events(nation_docs(spark, sf_dir))
@@ -334,7 +351,7 @@ def ns_attributes(spark, sf_dir):
     return got.filter("ns_status = 'Bound' and prefix <> 'xmlns'").select("doc_id", "key", "ns_uri", "ns_status")
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, 'x' AS name, 'r' AS prefixes FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'x' AS name, 'r' AS prefixes FROM people")
 def ns_in_scope(spark, sf_dir):
     """Declarations seen from an element, shadowed ones left out."""
     ev = events.events(nation_docs(spark, sf_dir))
@@ -415,11 +432,11 @@ def trim_xml(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.trim_xml(F.concat(F.lit("\n\t "), c, F.lit(" \r"))).alias("both_"), text.trim_xml_start(F.concat(F.lit("\n\t "), c)).alias("left_"), text.trim_xml_end(F.concat(c, F.lit(" \r"))).alias("right_"), text.is_blank(c).alias("blank"))
 
 
-@query("SELECT n_nationkey::BIGINT AS id, '<![CDATA[' || n_name || ']]]]><![CDATA[>' || n_nationkey || ']]>' AS written, n_name || ']]|>' || n_nationkey AS parts FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, '<![CDATA[' || n_name || ']]]]><![CDATA[>' || n_nationkey || ']]>' AS written, n_name || ']]|>' || n_nationkey AS parts FROM people")
 def cdata_split(spark, sf_dir):
     """Texts that hold the end of a CDATA section."""
     raw = F.concat("n_name", F.lit("]]>"), F.col("n_nationkey").cast("string"))
-    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), text.cdata(raw).alias("written"), F.array_join(text.cdata_parts(raw), "|").alias("parts"))
+    return people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("id"), text.cdata(raw).alias("written"), F.array_join(text.cdata_parts(raw), "|").alias("parts"))
 
 
 @query("SELECT p_partkey::BIGINT AS id, p_partkey % 3 <> 0 AS ok, CASE WHEN p_partkey % 3 = 1 THEN TRUE WHEN p_partkey % 3 = 2 THEN FALSE END AS flag FROM part")
@@ -430,13 +447,13 @@ def names_and_flags(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), text.is_xml_name(name).alias("ok"), text.xml_bool(F.when(k == 0, "yes").when(k == 1, "1").otherwise("false")).alias("flag"))
 
 
-@query("SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 4 WHEN 0 THEN 'UTF-16BE' WHEN 1 THEN 'UTF-16LE' ELSE 'UTF-8' END AS charset, '<?xml version=\"1.0\"?><a>é' || n_name || '</a>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 4 WHEN 0 THEN 'UTF-16BE' WHEN 1 THEN 'UTF-16LE' ELSE 'UTF-8' END AS charset, '<?xml version=\"1.0\"?><a>é' || n_name || '</a>' AS xml FROM people")
 def encodings(spark, sf_dir):
     """Detection, marks and decoding."""
     k = F.col("n_nationkey") % 4
     doc = F.concat(F.lit('<?xml version="1.0"?><a>é'), F.col("n_name"), F.lit("</a>"))
     raw = F.when(k == 0, F.encode(F.concat(F.lit("﻿"), doc), "UTF-16BE")).when(k == 1, F.encode(doc, "UTF-16LE")).when(k == 2, F.encode(F.concat(F.lit("﻿"), doc), "UTF-8")).otherwise(F.encode(doc, "UTF-8"))
-    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), raw.alias("b"))
+    rows = people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("id"), raw.alias("b"))
     return rows.select("id", encoding.effective_charset(F.col("b")).alias("charset"), encoding.decode_document(F.col("b")).alias("xml"))
 
 
@@ -468,17 +485,17 @@ def writer_concat(spark, sf_dir):
     return emit.write_events(ev.withColumn("content", F.coalesce(renamed, F.col("content"))), WriterOptions(add_space_before_slash_in_empty_elements=True))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<a>' || chr(10) || '  <b>' || n_name || '</b>' || chr(10) || '  <c/>' || chr(10) || '  <d>' || chr(10) || '  </d>' || chr(10) || '</a>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<a>' || chr(10) || '  <b>' || n_name || '</b>' || chr(10) || '  <c/>' || chr(10) || '  <d>' || chr(10) || '  </d>' || chr(10) || '</a>' AS xml FROM people")
 def writer_indent(spark, sf_dir):
     """Indentation around markup, none around text."""
-    docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("<a><b>"), "n_name", F.lit("</b><c/><d></d></a>")).alias("xml"))
+    docs = people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("<a><b>"), "n_name", F.lit("</b><c/><d></d></a>")).alias("xml"))
     return emit.write_events(events.events(docs), WriterOptions(indent_size=2))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<n key=\"' || n_nationkey || '\" q=\"&quot;&lt;\"><t>' || n_name || ' &amp; co</t><![CDATA[x]]><e/><p><?go on?></p></n>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<n key=\"' || n_nationkey || '\" q=\"&quot;&lt;\"><t>' || n_name || ' &amp; co</t><![CDATA[x]]><e/><p><?go on?></p></n>' AS xml FROM people")
 def element_builder(spark, sf_dir):
     """Elements built from columns."""
-    n = _table(spark, sf_dir, "nation")
+    n = people(spark, sf_dir)
     xml = emit.element("n", emit.text_element("t", F.concat("n_name", F.lit(" & co"))), text.cdata(F.lit("x")), emit.element("e"), emit.pi_element("p", F.lit("go on")), attrs={"key": F.col("n_nationkey"), "q": F.lit('"<')})
     return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml"))
 
@@ -486,19 +503,19 @@ def element_builder(spark, sf_dir):
 _ROW = "STRUCT<`@id`: INT, `@tags`: ARRAY<STRING>, name: STRING, none: STRING, item: ARRAY<INT>, inner: STRUCT<`$text`: STRING, `@k`: INT>>"
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<nation id=\"' || n_nationkey || '\" tags=\"a b\"><name>' || n_name || ' &lt;</name><none/><item>1</item><item>' || n_nationkey || '</item><inner k=\"7\">t&amp;</inner></nation>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<nation id=\"' || n_nationkey || '\" tags=\"a b\"><name>' || n_name || ' &lt;</name><none/><item>1</item><item>' || n_nationkey || '</item><inner k=\"7\">t&amp;</inner></nation>' AS xml FROM people")
 def typed_write(spark, sf_dir):
     """Structs as elements."""
-    n = _table(spark, sf_dir, "nation")
+    n = people(spark, sf_dir)
     kind = T.StructType.fromDDL("r " + _ROW)["r"].dataType
     row = F.struct(F.col("n_nationkey").cast("int").alias("@id"), F.array(F.lit("a"), F.lit(""), F.lit("b")).alias("@tags"), F.concat("n_name", F.lit(" <")).alias("name"), F.lit(None).cast("string").alias("none"), F.array(F.lit(1), F.col("n_nationkey").cast("int")).alias("item"), F.struct(F.lit("t&").alias("$text"), F.lit(7).alias("@k")).alias("inner"))
     return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), row.alias("r")).select("doc_id", emit.to_xml(F.col("r"), kind, "nation").alias("xml"))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<r><![CDATA[<' || n_name || ']]></r>' AS cdata, '<r></r>' AS empty, '<r>' || chr(10) || '  <a>1</a>' || chr(10) || '  <b/>' || chr(10) || '</r>' AS nice, CASE WHEN n_nationkey % 2 = 0 THEN '<r><one>' || n_nationkey || '</one></r>' ELSE '<r><two>x</two></r>' END AS choice, '<r><k>1</k></r>' AS keyed FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<r><![CDATA[<' || n_name || ']]></r>' AS cdata, '<r></r>' AS empty, '<r>' || chr(10) || '  <a>1</a>' || chr(10) || '  <b/>' || chr(10) || '</r>' AS nice, CASE WHEN n_nationkey % 2 = 0 THEN '<r><one>' || n_nationkey || '</one></r>' ELSE '<r><two>x</two></r>' END AS choice, '<r><k>1</k></r>' AS keyed FROM people")
 def typed_write_options(spark, sf_dir):
     """Text formats, empty elements, indentation, choices, maps."""
-    n = _table(spark, sf_dir, "nation")
+    n = people(spark, sf_dir)
     odd = F.col("n_nationkey") % 2 == 1
     cols = {
         "cdata": (F.struct(F.concat(F.lit("<"), "n_name").alias("$text")), TypedOptions(text="cdata")),
@@ -511,10 +528,10 @@ def typed_write_options(spark, sf_dir):
     return rows.select("doc_id", *[emit.to_xml(F.col(k), rows.schema[k].dataType, "r", o).alias(k) for k, (_, o) in cols.items()])
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, '<l>' || n_nationkey || ' 2 a&#32;b</l>' AS xml FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<l>' || n_nationkey || ' 2 a&#32;b</l>' AS xml FROM people")
 def xs_list_write(spark, sf_dir):
     """Lists in a text, blanks inside items as references, empty items dropped."""
-    n = _table(spark, sf_dir, "nation")
+    n = people(spark, sf_dir)
     rows = n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.struct(F.array(F.col("n_nationkey").cast("string"), F.lit("2"), F.lit(""), F.lit("a b")).alias("$text")).alias("r"))
     return rows.select("doc_id", emit.to_xml(F.col("r"), rows.schema["r"].dataType, "l").alias("xml"))
 
@@ -530,7 +547,7 @@ def typed_read(spark, sf_dir):
     return r.select("doc_id", F.col("r.`@id`").alias("id"), F.col("r.`@done`").alias("done"), "r.cust", "r.status", "r.note", F.array_join(F.col("r.keys.`$text`").cast("array<string>"), ",").alias("keys"))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, n_name || ' & co' AS name, n_regionkey::INTEGER AS region, '1,2,' || n_nationkey AS list, TRUE AS has_e FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, n_name || ' & co' AS name, n_regionkey::INTEGER AS region, '1,2,' || n_nationkey AS list, TRUE AS has_e FROM people")
 def typed_read_namespaces(spark, sf_dir):
     """Names without their prefixes, a list in an element."""
     kind = "name STRING, region STRUCT<`@id`: INT>, e STRING, list STRUCT<`$text`: ARRAY<INT>>"
@@ -538,28 +555,28 @@ def typed_read_namespaces(spark, sf_dir):
     return r.select("doc_id", "r.name", F.col("r.region.`@id`").alias("region"), F.array_join(F.col("r.list.`$text`").cast("array<string>"), ",").alias("list"), F.col("r.e").isNotNull().alias("has_e"))
 
 
-@query("SELECT n_nationkey::BIGINT AS id, '1,2,' || n_nationkey AS xs FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, '1,2,' || n_nationkey AS xs FROM people")
 def xs_list_read(spark, sf_dir):
     """Lists parted by any white space."""
     raw = F.concat(F.lit(" 1\t2\r\n "), F.col("n_nationkey").cast("string"))
-    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array_join(bind.cast_text(raw, T.ArrayType(T.IntegerType())).cast("array<string>"), ",").alias("xs"))
+    return people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("id"), F.array_join(bind.cast_text(raw, T.ArrayType(T.IntegerType())).cast("array<string>"), ",").alias("xs"))
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, unnest(['a', 'b', 'c', 'd']) AS name, unnest([CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_name END, '', NULL, 'x']) AS value FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, unnest(['a', 'b', 'c', 'd']) AS name, unnest([CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_name END, '', NULL, 'x']) AS value FROM people")
 def xsi_nil(spark, sf_dir):
     """Optional values: nil, empty tags, and elements without text."""
     flag = F.when(F.col("n_nationkey") % 2 == 0, "true").otherwise("0")
     xml = F.concat(F.lit('<r xmlns:i="http://www.w3.org/2001/XMLSchema-instance"><a i:nil="'), flag, F.lit('">'), "n_name", F.lit('</a><b/><c></c><d nil="true">x</d></r>'))
-    ev = events.events(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml")))
+    ev = events.events(people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml")))
     el = tree.elements(ev)
     nil = namespaces.nil_elements(ev, namespaces.bindings(ev, el))
     return bind.optional_fields(el.filter("depth = 1"), events.merged_text(ev), nil).select("doc_id", "name", "value")
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, 'element,text,element,text' AS kinds, 'b,' || n_name || ',c,end' AS words, 'b' AS variant, 'b' AS parted FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'element,text,element,text' AS kinds, 'b,' || n_name || ',c,end' AS words, 'b' AS variant, 'b' AS parted FROM people")
 def mixed_content(spark, sf_dir):
     """Order of mixed content, choices, and items parted by others."""
-    docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("<r><b/>"), "n_name", F.lit("<c/>end</r>")).alias("xml"))
+    docs = people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("<r><b/>"), "n_name", F.lit("<c/>end</r>")).alias("xml"))
     ev = events.events(docs)
     el = tree.elements(ev)
     mixed = bind.mixed_content(ev, el, events.merged_text(ev)).select("doc_id", F.array_join("items.kind", ",").alias("kinds"), F.array_join(F.transform("items", lambda i: F.coalesce(i["name"], i["text"])), ",").alias("words"))
@@ -568,12 +585,12 @@ def mixed_content(spark, sf_dir):
     return mixed.join(bind.choices(el).select("doc_id", "variant"), "doc_id").join(parted, "doc_id")
 
 
-@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::INTEGER END AS a, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS b FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::INTEGER END AS a, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS b FROM people")
 def tagged_variants(spark, sf_dir):
     """An attribute chooses the record's type."""
     odd = F.col("n_nationkey") % 2 == 1
     xml = F.when(odd, F.concat(F.lit('<v type="b"><name>'), "n_name", F.lit("</name></v>"))).otherwise(F.concat(F.lit('<v type="a"><n>'), F.col("n_nationkey").cast("string"), F.lit("</n></v>")))
-    r = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), bind.tagged(xml, "type", {"a": "n INT", "b": "name STRING"}).alias("v"))
+    r = people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("id"), bind.tagged(xml, "type", {"a": "n INT", "b": "name STRING"}).alias("v"))
     return r.select("id", F.col("v.a.n").alias("a"), F.col("v.b.name").alias("b"))
 
 
@@ -632,12 +649,12 @@ def broken_documents(spark, sf_dir):
 
 
 @query("""SELECT n_nationkey::BIGINT AS doc_id, CASE n_nationkey % 5 WHEN 0 THEN 'UnclosedReference' WHEN 1 THEN 'MismatchedEndTag' WHEN 2 THEN 'UnclosedTag' WHEN 3 THEN 'InvalidBangMarkup' ELSE 'UnmatchedEndTag' END AS code,
-CASE n_nationkey % 5 WHEN 0 THEN 3 + length(n_name) WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 7 END::BIGINT AS pos, (n_nationkey % 5 IN (0, 1, 4)) AS recoverable FROM nation""")
+CASE n_nationkey % 5 WHEN 0 THEN 3 + length(n_name) WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 7 END::BIGINT AS pos, (n_nationkey % 5 IN (0, 1, 4)) AS recoverable FROM people""")
 def strict_errors(spark, sf_dir):
     """§2.13, R3, R8, C1: the same by the state machine."""
     k = F.col("n_nationkey") % 5
     xml = F.when(k == 0, F.concat(F.lit("<a>"), "n_name", F.lit("& b</a>"))).when(k == 1, "<é></b>").when(k == 2, "<a><b").when(k == 3, "<a><!x>").otherwise("<a></a></b>")
-    docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml"))
+    docs = people(spark, sf_dir).select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml"))
     bad = events.strict_events(docs).filter("kind = 'Error'")
     return bad.select("doc_id", F.col("error.code").alias("code"), F.col("error.pos").alias("pos"), (F.col("error.class") == "IllFormed").alias("recoverable"))
 
