@@ -70,7 +70,7 @@ def read_typed(xml: Column, schema: T.StructType | str, strict: bool = False, wi
 
     Fields: ``@name`` attributes, ``$text`` text, others child elements by local name; the
     root's name does not matter; repeated siblings need not be adjacent.  ``wildcard``
-    names a string (array) field that takes unknown elements as raw XML.
+    names a string (array) field that takes the inner XML of unknown elements.
     """
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     options = FROM_XML | ({"wildcardColName": wildcard} if wildcard else {})
@@ -144,7 +144,8 @@ def read_items(xml: Column, variants: dict[str, T.DataType | str], strict: bool
     An array of (tag, ``$text``, one field a variant): for an element the field of its
     name is read by the variant's type, for a text ``$text`` holds it.  Elements of other
     names have their tag alone.  ``read_items(...)[0]`` is a single choice.  For the content
-    of an inner element read it as raw XML first (``wildcard`` of ``read_typed``).
+    of an inner element take its inner XML first (``wildcard`` of ``read_typed``) and put a
+    root around it.
     """
     return F.when(xml.isNotNull(), _variants(_top_items(xml, 1), variants, strict))
 

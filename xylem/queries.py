@@ -749,6 +749,37 @@ def several_roots(spark, sf_dir):
     return r.select("doc_id", F.array_join("i.tag", ",").alias("tags"), item(0)["a"].alias("first_a"), item(1)["b"].alias("b"), item(2)["a"].alias("last_a"), "roots", "stray")
 
 
+@query("SELECT o_orderkey::BIGINT AS doc_id, 'a' || chr(10) || o_orderkey || chr(10) || chr(133) AS v10, 'a' || chr(10) || o_orderkey || chr(10) AS v11, TRUE AS plain FROM orders")
+def cdata_contents(spark, sf_dir):
+    """The content of CDATA sections under the rules for line ends."""
+    raw = F.concat(F.lit("a\r\n"), F.col("o_orderkey").cast("string"), F.lit("\r\u0085"))
+    docs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.concat(F.lit("<r>"), text.cdata(raw), F.lit("</r>")).alias("xml"))
+    ev = events.events(docs, options=LENIENT, kinds=["CData"])
+    return ev.select("doc_id", text.eol_xml10(F.col("content")).alias("v10"), text.eol_xml11(F.col("content")).alias("v11"), (F.col("content") == F.substring(F.col("raw"), F.lit(10), F.char_length("raw") - 12)).alias("plain"))
+
+
+_LABELS = {"l1": "windows-1252", "ISO_8859-2:1987": "ISO-8859-2", "cp1251": "windows-1251", "koi": "KOI8-R", "utf8": "UTF-8", "x-sjis": "windows-31j", "Big5": "Big5-HKSCS", "gb2312": "GBK"}
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, CASE o_orderkey % " + f"{len(_LABELS)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_LABELS.values())) + " END AS charset, '<a>' || o_orderkey || '</a>' AS body FROM orders")
+def declared_charsets(spark, sf_dir):
+    """Labels of declarations, and documents decoded by them."""
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("o_orderkey") % len(_LABELS) + 1).cast("int"))
+    body = F.concat(F.lit("<a>"), F.col("o_orderkey").cast("string"), F.lit("</a>"))
+    raw = F.concat(F.lit('<?xml version="1.0" encoding="'), label, F.lit('"?>'), body).cast("binary")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), raw.alias("b"))
+    return rows.select("doc_id", encoding.effective_charset(F.col("b")).alias("charset"), F.regexp_extract(encoding.decode_document(F.col("b")), "<a>.*", 0).alias("body"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, o_custkey::BIGINT AS cust, o_orderstatus || '<b>1</b>' AS rest, o_orderkey::INTEGER AS key FROM orders")
+def ignored_fields(spark, sf_dir):
+    """Elements without a field are left out, or their inner XML is kept; a text by its type."""
+    xml = F.concat(F.lit("<o k='1'><cust>"), F.col("o_custkey").cast("string"), F.lit("</cust><extra>"), "o_orderstatus", F.lit("<b>1</b></extra></o>"))
+    o = _table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_orderkey").cast("long").alias("doc_id"), bind.read_typed(xml, "cust BIGINT").alias("a"), bind.read_typed(xml, "cust BIGINT, rest STRING", wildcard="rest").alias("b"), bind.cast_text(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("\n")), T.IntegerType()).alias("key"))
+    return r.select("doc_id", "a.cust", "b.rest", "key")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
