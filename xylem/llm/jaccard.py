@@ -1,15 +1,19 @@
-"""Exact near-duplicates: pairs whose sets of word shingles have a Jaccard similarity or more.
-
-In one order of all shingles, two sets of similarity ``t`` share one of their first
-``n - ceil(t n) + 1`` shingles (``n``: a set's own size), so only these heads are joined.
-Any order will do; rare shingles first keeps few pairs.  What meets is decided by the
-exact similarity of the two sets, after a sieve that loses nothing: parities of the hashes
-differ in no more bits than the sets in elements.
-
-Only distinct sets are compared, so copies cost nothing.  Each key first proposes the
-pairs with its most central set, the one most of whose first shingles others have too; then
-those that are not yet in one component and pass the sieve, which is applied where the
-sets of a key meet: a large group of near copies does not cost a row for each pair.
+"""Near-duplicates of a similarity: SimHash proposes, exact sets decide, heads find the rest.
+
+Texts are sets of word shingles.  SimHash fingerprints of the sets go through the
+pigeonhole tables of ``simhash``; what is within a few bits is proposed and decided by the
+exact Jaccard similarity of the two sets.  Fingerprints miss pairs, the more so the lower
+the similarity, so a second search misses none: in one order of all shingles, two sets of
+similarity ``t`` share one of their first ``n - ceil(t n) + 1`` shingles (``n``: a set's
+own size), so only these heads are joined.  Any order will do; rare shingles first keeps few
+pairs.  Before sets are compared there is a sieve that loses nothing: parities of the
+hashes differ in no more bits than the sets in elements.
+
+Only distinct sets are compared, so copies cost nothing.  Each key of the heads first
+proposes the pairs with its most central set, the one most of whose first shingles others
+have too; then those that are not yet in one component and pass the sieve, which is applied
+where the sets of a key meet: a large group of near copies does not cost a row for each
+pair.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import checkpoint, ready, row_slices, span_hashes, string_buffers, trim, whole_number, window_hashes, word_bounds
 from .components import components, spread_join
+from .simhash import hamming_links, majority
 
 #: Sets of one key that one task compares; more are dealt out in chunks.
 CHUNK = 2048
@@ -103,21 +108,23 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity:
 
 
 def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_sha256, digest, sid, n, bits, few): each text's set.
+    """(doc_id, text_sha256, digest, sid, n, bits, few, fp): each text's set.
 
-    Its digest, the digest's first eight bytes, size, parity, and parity of fewer bits.
+    Its digest, the digest's first eight bytes, size, parity, parity of fewer bits, and
+    SimHash fingerprint.
     """
 
     def run(batches):
         for batch in batches:
-            sets = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), parity(s)) for s in shingle_sets(batch.column("text"), size)]
+            sets = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), parity(s), majority(s.astype(">u8"))) for s in shingle_sets(batch.column("text"), size)]
             sid = np.frombuffer(b"".join(s[0] for s in sets), np.int64)[::2]
             digest, n, bits = (pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.binary())))
             few = pa.array([folded(s[2], _BITS // 8).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), digest, pa.array(sid), n, bits, few], names=["doc_id", "text_sha256", "digest", "sid", "n", "bits", "few"])
+            fp = pa.array(np.array([s[3] for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), digest, pa.array(sid), n, bits, few, fp], names=["doc_id", "text_sha256", "digest", "sid", "n", "bits", "few", "fp"])
         trim()
 
-    return ready(docs).mapInArrow(run, "doc_id long, text_sha256 string, digest binary, sid long, n int, bits binary, few binary")
+    return ready(docs).mapInArrow(run, "doc_id long, text_sha256 string, digest binary, sid long, n int, bits binary, few binary, fp long")
 
 
 def _heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -226,6 +233,14 @@ def _apart(held: DataFrame, similarity: float, chunk: int) -> DataFrame:
     return ready(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
+def _fingerprints(distinct: DataFrame, d: int) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints differ in at most ``d`` bits, enough to join them all."""
+    same = checkpoint(distinct.groupBy("fp").agg(F.min("sid").alias("rep"), F.count("*").alias("n")))
+    equal = spread_join(distinct.select("sid", "fp"), same, "fp", same.count()).filter("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    links = hamming_links(same.select("fp", "rep"), d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(links)
+
+
 def _stars(held: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b): each key's sets with its most central one, of sizes that allow it."""
     near = F.least("n", "low.n") >= similarity * F.greatest("n", "low.n") - _EPS
@@ -283,7 +298,7 @@ def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
     return checkpoint(both.mapInArrow(check, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 
 
-def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = CHUNK, d: int = 3) -> DataFrame:
     """(doc_id, text_sha256, component_id, component_key): near-duplicates by the Jaccard similarity of shingle sets.
 
     Two texts are linked where, and only where, their sets of shingles of ``size`` words
@@ -297,11 +312,11 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ident = whole_number(df, doc_id)
     docs = df.select(ident.alias("doc_id"), df[text].alias("text"), F.sha2(F.coalesce(df[text], F.lit("")), 256).alias("text_sha256"))
     known = checkpoint(_digests(docs, size))
-    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "few")]))
+    distinct = checkpoint(known.filter("doc_id is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "few", "fp")]))
     rows = _heads(docs.filter("doc_id is not null"), size, similarity).repartition("key").dropDuplicates(["key", "sid"])
     every = Window.partitionBy("key")
     held = checkpoint(rows.withColumn("met", F.count("*").over(every)).withColumn("low", F.max(F.struct("share", "sid", "n")).over(every)).filter("met > 1").drop("share"))
-    edges = _similar(docs, distinct, _stars(held, similarity), size, similarity)
+    edges = _similar(docs, distinct, _fingerprints(distinct, d).union(_stars(held, similarity)), size, similarity)
     comp = components(edges)
     c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("few").alias("bits"))
     rest = _apart(held.drop("low").join(c, "sid"), similarity, chunk)

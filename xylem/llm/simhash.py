@@ -49,11 +49,15 @@ def shingle_fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
         starts = [0, *(blank[: len(words) - size] + 1).tolist()]
         ends = [*blank[size - 1 :].tolist(), len(line)]
         hashes = [h(line[a:b], seed) for a, b in zip(starts, ends, strict=True)]
-    a = np.array(hashes, ">u8")
+    return majority(np.array(hashes, ">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of big-endian 64-bit hashes."""
     total = np.zeros(64, np.int64)
-    for i in range(0, len(a), 1 << 16):
-        total += np.unpackbits(a[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(a)).tobytes(), "big")
+    for i in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, text: str = "text", size: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
