@@ -72,8 +72,31 @@ def _broken(t: Column) -> Column:
     )
 
 
-def classify(t: Column, last: Column, options: ReaderOptions = ReaderOptions()) -> Column:
-    """Kind, content and syntax error of one token; only the ``last`` one may be broken."""
+def classify(toks: Column, options: ReaderOptions = ReaderOptions()) -> Column:
+    """(kind, raw, content, broken) of each token: ``broken`` is the code of a syntax error.
+
+    Step by step, as what a later step refers to is computed again wherever it stands.
+    """
+    # only the last token may be broken
+    whole = F.transform(toks, lambda t, i: F.struct(t.alias("raw"), F.when((i == F.size(toks) - 1) & t.startswith("<"), F.when(~t.rlike(_WHOLE), _broken(t))).alias("broken")))
+    kinds = F.transform(whole, lambda x: F.struct(_kind(x["raw"], x["broken"], options).alias("kind"), x["raw"].alias("raw"), x["broken"].alias("broken")))
+    return F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), x["raw"].alias("raw"), _content(x["kind"], x["raw"], options).alias("content"), x["broken"].alias("broken")))
+
+
+def _kind(t: Column, broken: Column, options: ReaderOptions) -> Column:
+    tag = F.substring(t, 1, 2)
+    return (
+        F.when(~tag.startswith("<"), F.when(~tag.startswith("&"), "Text").when(t.endswith(";"), "GeneralRef").otherwise("Text" if options.allow_dangling_amp else "Error"))
+        .when(broken.isNotNull(), "Error")
+        .when(tag == "</", "End")
+        .when(tag == "<!", F.when(t.startswith("<!--"), "Comment").when(t.startswith("<![CDATA["), "CData").otherwise("DocType"))
+        .when(tag == "<?", F.when(t.rlike("^<\\?xml([ \\t\\r\\n]|\\?>)"), "Decl").otherwise("PI"))
+        .when(t.endswith("/>"), "Empty")
+        .otherwise("Start")
+    )
+
+
+def _content(kind: Column, t: Column, options: ReaderOptions) -> Column:
     end_name = _sub(t, 3, 3)
     if options.trim_markup_names_in_closing_tags:
         cut = F.rtrim(end_name, F.lit(SPACES))
@@ -84,34 +107,18 @@ def classify(t: Column, last: Column, options: ReaderOptions = ReaderOptions())
         text = F.ltrim(text, F.lit(SPACES))
     if options.trim_text_end:
         text = F.rtrim(text, F.lit(SPACES))
-    broken = F.when(last & t.startswith("<"), F.when(~t.rlike(_WHOLE), _broken(t)))
-    lone = "Text" if options.allow_dangling_amp else "Error"
-    kind = (
-        F.when(~F.substring(t, 1, 1).isin("<", "&"), "Text")
-        .when(t.startswith("&"), F.when(t.endswith(";"), "GeneralRef").otherwise(lone))
-        .when(broken.isNotNull(), "Error")
-        .when(t.startswith("</"), "End")
-        .when(t.startswith("<!--"), "Comment")
-        .when(t.startswith("<![CDATA["), "CData")
-        .when(t.startswith("<!"), "DocType")
-        .when(t.startswith("<?"), F.when(t.rlike("^<\\?xml([ \\t\\r\\n]|\\?>)"), "Decl").otherwise("PI"))
-        .when(t.endswith("/>"), "Empty")
-        .otherwise("Start")
-    )
-    k = F.substring(t, 1, 2)
-    content = (
+    return (
         F.when(kind == "Text", text)
-        .when(kind == "Error", "")
-        .when(kind == "GeneralRef", _sub(t, 2, 2))
+        .when(kind == "Start", _sub(t, 2, 2))
         .when(kind == "End", end_name)
+        .when(kind == "Empty", _sub(t, 2, 3))
+        .when(kind == "GeneralRef", _sub(t, 2, 2))
         .when(kind == "Comment", _sub(t, 5, 7))
         .when(kind == "CData", _sub(t, 10, 12))
         .when(kind == "DocType", F.ltrim(_sub(t, 10, 10), F.lit(SPACES)))
-        .when(k == "<?", _sub(t, 3, 4))
-        .when(kind == "Empty", _sub(t, 2, 3))
-        .otherwise(_sub(t, 2, 2))
+        .when(kind == "Error", "")
+        .otherwise(_sub(t, 3, 4))
     )
-    return F.struct(kind.alias("kind"), t.alias("raw"), content.alias("content"), broken.alias("broken"))
 
 
 def _open_names(arr: Column, options: ReaderOptions) -> Column:
@@ -136,11 +143,9 @@ def _open_names(arr: Column, options: ReaderOptions) -> Column:
     return F.aggregate(arr, start, step, lambda a: a["bad"])
 
 
-def _named(x: Column, i: Column, toks: Column, bad: Column | None, options: ReaderOptions) -> Column:
-    """Adds name, raw attributes, and the error that takes an event's place."""
+def _judged(x: Column, i: Column, toks: Column, bad: Column | None, options: ReaderOptions) -> Column:
+    """Adds the error that takes an event's place."""
     kind, content, raw = x["kind"], x["content"], x["raw"]
-    name = F.when(kind.isin("Start", "Empty", "PI", "Decl"), F.regexp_extract(content, "^[^ \\t\\r\\n]*", 0)).when(kind == "End", content)
-    rest = F.when(kind.isin("Start", "Empty", "PI", "Decl"), F.substring(content, F.char_length(name) + 1, F.char_length(content)))
     before = _octets(toks, i)
 
     def error(cls: str, code: Column | str, pos: Column = before, msg: Column | None = None) -> Column:
@@ -156,8 +161,17 @@ def _named(x: Column, i: Column, toks: Column, bad: Column | None, options: Read
         here = F.get(F.filter(bad, lambda b: b["i"] == i), F.lit(0))
         msg = F.when(here["code"] == "MismatchedEndTag", F.concat(F.lit("expected `</"), here["open"], F.lit(">`, but `</"), content, F.lit(">` was found"))).otherwise(F.concat(F.lit("`</"), content, F.lit(">` has no start")))
         found = found.when((kind == "End") & (F.size(bad) > 0) & here.isNotNull(), error("IllFormed", here["code"], msg=msg))
-    wrong = found.isNotNull()
-    return F.struct(F.when(wrong, "Error").otherwise(kind).alias("kind"), raw.alias("raw"), F.when(wrong, "").otherwise(content).alias("content"), F.when(~wrong, name).alias("name"), F.when(~wrong, rest).alias("attrs_raw"), found.alias("error"))
+    return F.struct(kind.alias("kind"), raw.alias("raw"), content.alias("content"), found.alias("error"))
+
+
+def _finish(x: Column) -> Column:
+    """An event from what is known of its token: name and raw attributes, or an error in its place."""
+    kind, content, wrong = x["kind"], x["content"], x["error"].isNotNull()
+    named = kind.isin("Start", "Empty", "PI", "Decl") & ~wrong
+    name = F.when(named, F.regexp_extract(content, "^[^ \\t\\r\\n]*", 0)).when((kind == "End") & ~wrong, content)
+    # the name's bytes are the content's first ones
+    rest = F.when(named, F.regexp_replace(content, "^[^ \\t\\r\\n]*+", ""))
+    return F.struct(F.when(wrong, "Error").otherwise(kind).alias("kind"), x["raw"].alias("raw"), F.when(wrong, "").otherwise(content).alias("content"), name.alias("name"), rest.alias("attrs_raw"), x["error"].alias("error"))
 
 
 def event_array(xml: Column, options: ReaderOptions = ReaderOptions(), kinds: list[str] | None = None) -> Column:
@@ -165,17 +179,18 @@ def event_array(xml: Column, options: ReaderOptions = ReaderOptions(), kinds: li
 
     ``kinds`` leaves other events out before anything is exploded.
     """
-    return let(tokens(xml), lambda toks: let(F.transform(toks, lambda t, i: classify(t, i == F.size(toks) - 1, options)), lambda arr: _from_tokens(toks, arr, options, kinds)))
+    return let(tokens(xml), lambda toks: let(classify(toks, options), lambda arr: _from_tokens(toks, arr, options, kinds)))
 
 
 def _from_tokens(toks: Column, arr: Column, options: ReaderOptions, kinds: list[str] | None) -> Column:
     checked = (options.check_end_names or not options.allow_unmatched_ends) and (kinds is None or bool({"End", "Error"} & set(kinds)))
     if checked:
-        return let(_open_names(arr, options), lambda bad: _events_of(toks, F.transform(arr, lambda x, i: _named(x, i, toks, bad, options)), options, kinds))
-    return _events_of(toks, F.transform(arr, lambda x, i: _named(x, i, toks, None, options)), options, kinds)
+        return let(_open_names(arr, options), lambda bad: _events_of(toks, F.transform(arr, lambda x, i: _judged(x, i, toks, bad, options)), options, kinds))
+    return _events_of(toks, F.transform(arr, lambda x, i: _judged(x, i, toks, None, options)), options, kinds)
 
 
 def _events_of(toks: Column, arr: Column, options: ReaderOptions, kinds: list[str] | None) -> Column:
+    arr = F.transform(arr, _finish)
     if options.trim_text_end:
         # at the end of the document a text cut to nothing is none
         arr = F.filter(arr, lambda x, i: ~((i == F.size(toks) - 1) & (x["kind"] == "Text") & (x["content"] == "")))
