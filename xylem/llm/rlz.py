@@ -33,6 +33,8 @@ WINDOW = 13
 LEAST_BITS, MOST_BITS = 6, 16
 #: Blocks of documents for each share of the hashes; both keep their size as the input grows.
 WORK_PER_SHARE = 4
+#: Compressed input bytes aimed at for one block of documents.
+WORK_BYTES = 5 << 19
 
 
 def _width(a: np.ndarray) -> np.dtype:
@@ -64,7 +66,8 @@ class Windows:
     """Words and windows of the rows of one block."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, k: int):
-        hashes, words, counts, spans = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
+        place = np.int32 if len(raw) < 1 << 30 else np.int64
+        hashes, words, counts, spans = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), place)]
         for i, j in row_slices(offsets):
             part = raw[offsets[i] : offsets[j]]
             starts, ends, first = word_bounds(part, offsets[i : j + 1] - offsets[i])
@@ -75,12 +78,18 @@ class Windows:
             hashes.append(window_hashes(h, k)[at])
             words.append(h)
             counts.append(n)
-            spans.append(np.stack([starts, ends]) + offsets[i])
+            spans.append((np.stack([starts, ends]) + offsets[i]).astype(place))
         self.raw, self.k = raw, k
+        # one after the other: parts are freed before the next ones are joined
+        self.hashes = np.concatenate(hashes)
+        del hashes
+        self.word_hashes = np.concatenate(words)
+        del words
         self.starts, self.ends = np.concatenate(spans, axis=1)
-        self.hashes, self.word_hashes, self.words = (np.concatenate(x) for x in (hashes, words, counts))
+        del spans
+        self.words = np.concatenate(counts)
         self.windows = np.maximum(self.words - k + 1, 0)
-        self.row = np.repeat(np.arange(len(self.words)), self.windows)
+        self.row = np.repeat(np.arange(len(self.words), dtype=np.int32), self.windows)
         self.base = np.cumsum(self.windows) - self.windows  # first window and first word of each row
         self.word0 = np.cumsum(self.words) - self.words
 
@@ -125,7 +134,7 @@ def factorise(w: Windows, doc: np.ndarray, ref: Reference) -> np.ndarray:
     rows = np.unique(w.row[hit])
     mine = np.repeat(w.word0[rows] - (np.cumsum(w.words[rows]) - w.words[rows]), w.words[rows]) + np.arange(int(w.words[rows].sum()))
     own = len(w.raw)
-    ids = span_ids(np.concatenate([w.raw, ref.w.raw]), np.concatenate([w.starts[mine], ref.w.starts + own]), np.concatenate([w.ends[mine], ref.w.ends + own]), np.concatenate([w.word_hashes[mine], ref.w.word_hashes]))
+    ids = span_ids(np.concatenate([w.raw, ref.w.raw]), np.concatenate([w.starts[mine], ref.w.starts + own], dtype=np.int64), np.concatenate([w.ends[mine], ref.w.ends + own], dtype=np.int64), np.concatenate([w.word_hashes[mine], ref.w.word_hashes]))
     x = np.full(len(w.starts), -1, np.int64)
     x[mine], y = ids[: len(mine)], ids[len(mine) :]
     a, entry = w.begin(hit), at[hit]
@@ -192,7 +201,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     if factors:
         fields.append(T.StructField(names[3], T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "source_id", "source_start")]))))
     schema = T.StructType([df.schema[c] for c in kept] + fields)
-    n_work = block_count(df)
+    n_work = block_count(df, WORK_BYTES)
     bits = min(MOST_BITS, max(LEAST_BITS, (n_work // WORK_PER_SHARE).bit_length()))
     n_ref, shift = 1 << bits, np.uint64(64 - bits)
 
