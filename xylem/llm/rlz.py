@@ -206,7 +206,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     n_ref, shift = 1 << bits, np.uint64(64 - bits)
 
     ident = whole_number(df, doc_id)
-    work = ready(df).select(ident.alias("__id"), F.coalesce(df[text], F.lit("")).alias("__text"), bucket_of(F.coalesce(ident, F.xxhash64(df[text])), n_work).alias("__work"), *[df[c].alias(f"__c{i}") for i, c in enumerate(kept)])
+    work = ready(df).select(ident.alias("__id"), df[text].alias("__text"), bucket_of(F.coalesce(ident, F.xxhash64(df[text])), n_work).alias("__work"), *[df[c].alias(f"__c{i}") for i, c in enumerate(kept) if c != text])
     work = work.repartition(n_work, "__work")
 
     def block(table: pa.Table) -> tuple[pa.Table, Windows, np.ndarray]:
@@ -333,7 +333,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         np.add.at(cover, begin + length, -1)
         gone = np.cumsum(cover)[:-1] > 0
         removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[w.word0, len(gone)]])
-        out = {c: table.column(f"__c{i}") for i, c in enumerate(kept)}
+        # the text itself is sent once
+        out = {c: table.column("__text" if c == text else f"__c{i}") for i, c in enumerate(kept)}
         out[names[0]] = _join(w, gone, w.word0)
         out[names[1]], out[names[2]] = pa.array(w.words), pa.array(removed)
         if factors:
