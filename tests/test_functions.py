@@ -95,6 +95,18 @@ def test_explicit_encoding(spark):
     assert one(spark, bytearray("é".encode("cp1252")), lambda c: encoding.decode_document(c, "latin1"), "binary") == "é"
 
 
+def test_charsets_without_the_setting(spark):
+    """Java's charsets are open to documents in a session that keeps Spark's own default."""
+    raw = "<?xml version='1.0' encoding='x-sjis'?>あ".encode("cp932")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    try:
+        assert one(spark, bytearray(raw), encoding.decode_document, "binary").endswith("?>あ")
+        with pytest.raises(Exception, match="MALFORMED"):
+            one(spark, bytearray(b"\x81"), lambda c: encoding.decode_document(c, "x-sjis"), "binary")
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(max_size=40))
 def test_escape_round_trip(spark, raw):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,10 +103,17 @@ def strip_bom(c: Column) -> Column:
     return F.regexp_replace(c, "^\\x{FEFF}", "")
 
 
+def _decode(c: Column, charset: Column) -> Column:
+    """Spark's ``decode`` open to all charsets of Java; in SQL a session's setting decides that."""
+    jvm = SparkContext._active_spark_context._jvm
+    node = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    raw, name = (node.expression(x._jc) for x in (c, charset))
+    return Column(node.column(jvm.org.apache.spark.sql.catalyst.expressions.StringDecode(raw, name, True, False)))
+
+
 def decode_document(c: Column, explicit: str | None = None) -> Column:
     """Text of a document's bytes, without its mark; malformed bytes raise an error.
 
-    Charsets beyond Latin-1 and UTF need ``spark.sql.legacy.javaCharsets`` (see
-    ``build_session``).
+    Every Java charset is taken, whatever ``spark.sql.legacy.javaCharsets`` says.
     """
-    return strip_bom(F.call_function("decode", c, effective_charset(c, explicit)))
+    return strip_bom(_decode(c, effective_charset(c, explicit)))
