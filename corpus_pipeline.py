@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.llm.bpe import bpe_encode
-from xylem.llm.common import read, remove
+from xylem.llm.common import read, remove, trim
 from xylem.llm.decontaminate import drop_leaks
 from xylem.llm.jaccard import one_of_each
 from xylem.llm.queries import vocabulary
@@ -26,6 +26,7 @@ TOXIC = 0.5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score stays below ``TOXIC``; null and empty texts stay."""
     weights, bias = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    trim()  # the driver need not hold the labelled texts any longer
     scored = score_toxicity(docs, weights, bias, sentences=False, into="__toxic")
     return scored.filter(F.col("__toxic") < TOXIC).select(*docs.columns)
 

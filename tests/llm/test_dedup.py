@@ -175,6 +175,28 @@ def test_components(spark):
     assert components(df.filter("a > 1000")).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_by_one_task_or_in_rounds(spark, one_task):
+    rng = random.Random(8)
+    chain = [(i * 7 % 101, (i + 1) * 7 % 101) for i in range(60)]
+    star = [(-5, -i) for i in range(10, 30)]
+    edges = chain + star + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(70)] + [(-(1 << 63), (1 << 63) - 1)]
+    df = spark.createDataFrame([*edges, *edges[:9], (None, 1), (4, 4)], "a long, b long").repartition(7)
+    good = [e for e in edges if e[0] != e[1]]
+    assert {r.node: r.component for r in components(df, one_task=one_task).collect()} == smallest({x for e in good for x in e}, good)
+    assert components(df.filter("a is null"), one_task=one_task).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """The driver's memory goes by the jobs it plans: small components must not take rounds of them."""
+    words = [f"w{i}" for i in range(40)]
+    df = frame(spark, [(i, " ".join([*words, *[f"x{k}" for k in range(i)]])) for i in range(12)])
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert {r.component_id for r in similar_documents(df).collect()} == {0}
+    assert jobs() - before < 120, jobs() - before
+
+
 def test_similar_documents(spark):
     rng = random.Random(7)
     text = [rng.choice("abcdefghij") + str(rng.randint(0, 500)) for _ in range(400)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, ready, row_slices, span_hashes, string_buffers, trim, whole_number, window_hashes, word_bounds
-from .components import components, spread_join
+from .components import ONE_TASK, components, spread_join
 from .simhash import hamming_links, majority
 
 #: Sets of one key that one task compares; more are dealt out in chunks.
@@ -317,10 +317,12 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = Window.partitionBy("key")
     held = checkpoint(rows.withColumn("met", F.count("*").over(every)).withColumn("low", F.max(F.struct("share", "sid", "n")).over(every)).filter("met > 1").drop("share"))
     edges = _similar(docs, distinct, _fingerprints(distinct, d).union(_stars(held, similarity)), size, similarity)
-    comp = components(edges)
+    comp = components(edges, one_task=ONE_TASK)
     c = distinct.join(comp, distinct.sid == comp.node, "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("few").alias("bits"))
     rest = _apart(held.drop("low").join(c, "sid"), similarity, chunk)
-    comp = components(edges.union(_similar(docs, distinct, rest, size, similarity)))
+    # what is joined up stays so: each set's link with its component stands for its edges
+    edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_similar(docs, distinct, rest, size, similarity))
+    comp = components(edges, one_task=ONE_TASK)
     sets = checkpoint(distinct.join(comp, distinct.sid == comp.node, "left").select("digest", "rep", "copies", F.coalesce("component", "sid").alias("c")))
     # a component is named by its least id
     least = sets.groupBy("c").agg(F.min("rep").alias("__c"), F.count("*").alias("n"))
