@@ -17,6 +17,8 @@ class ReaderOptions:
     - ``trim_markup_names_in_closing_tags``: ``</a >`` names ``a``.
     - ``trim_text_start``, ``trim_text_end``: white space around texts is cut; a text
       that is all white space is then left out (``trim_text_start``).
+    - ``loose``: a scan by pattern, as SQL does it: nothing is an error; a ``<`` or ``&``
+      that opens no markup is passed over, and counts in no offset.
     """
 
     allow_dangling_amp: bool = False
@@ -27,6 +29,7 @@ class ReaderOptions:
     trim_markup_names_in_closing_tags: bool = True
     trim_text_start: bool = False
     trim_text_end: bool = False
+    loose: bool = False
 
     def trim_text(self, on: bool) -> ReaderOptions:
         return replace(self, trim_text_start=on, trim_text_end=on)
