@@ -98,10 +98,15 @@ def spans(ev: DataFrame, el: DataFrame, name: str | None = None) -> DataFrame:
     return out.withColumn("error", F.when(F.col("end_seq").isNull(), "MissingEndTag")).drop("end_seq")
 
 
-def inner_text(docs: DataFrame, sp: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """Adds ``inner``: the raw source between an element's tags, not unescaped."""
+def inner_text(docs: DataFrame, sp: DataFrame, doc_id: str = "doc_id", xml: str = "xml", options: ReaderOptions = ReaderOptions()) -> DataFrame:
+    """Adds ``inner``: the raw source between an element's tags, not unescaped.
+
+    ``options`` are those by which the events of ``sp`` were read.
+    """
+    from .events import source
+
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(xml).alias("__xml"))
-    text = F.substring(F.regexp_replace("__xml", "^\\x{FEFF}", ""), (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
+    text = F.substring(source(F.col("__xml"), options), (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
     return sp.join(d, "doc_id").withColumn("inner", text).drop("__xml")
 
 
