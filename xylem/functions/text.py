@@ -219,7 +219,27 @@ def write_number(c: Column, kind: T.DataType) -> Column:
         return F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(e < 0, small).otherwise(F.concat(whole, rest)))
 
     endless = F.when(c > 0, "inf").otherwise("-inf")
-    return F.when(F.isnan(c), "NaN").when(F.abs(c) == F.lit(float("inf")), endless).otherwise(let(shortest, plain))
+    return F.when(F.isnan(c), "NaN").when(F.abs(c) == F.lit(float("inf")), endless).otherwise(F.coalesce(_few_digits(c, wide, kind), let(shortest, plain)))
+
+
+def _few_digits(c: Column, wide: Column, kind: T.DataType) -> Column:
+    """A number's text where it is sure without trying lengths, else null.
+
+    A whole number below the type's last gapless one has its own digits.  A decimal of no
+    more digits than the type always keeps (15, 6) is the shortest if it reads back the same.
+    """
+    digits, gapless = (6, 2.0**24) if isinstance(kind, T.FloatType) else (15, 2.0**53)
+    size, whole = F.abs(wide), wide.try_cast("long")
+    java = c.cast("string")
+    point = F.rtrim(java.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    long = java.try_cast("decimal(38,0)").cast("string")
+    return (
+        F.when(c == 0, F.when(java.startswith("-"), "-0").otherwise("0"))
+        .when((size >= 1) & (size < gapless) & (whole.cast("double") == wide), whole.cast("string"))
+        # the legacy cast to a text writes exponents
+        .when(size < gapless, let(point, lambda t: F.when((F.char_length(t) <= digits + 1) & t.rlike("\\A-?[0-9]+\\.[0-9]+\\z") & (t.try_cast(kind) == c), t)))
+        .when(size < 1e37, let(long, lambda t: F.when((F.char_length(F.rtrim(t, F.lit("0"))) <= digits) & (t.try_cast(kind) == c), t)))
+    )
 
 
 def is_xml_name(c: Column) -> Column:

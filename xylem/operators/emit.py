@@ -163,6 +163,10 @@ def _pad(options: TypedOptions, level: int) -> str:
     return "\n" + options.indent_char * (options.indent * level) if options.indent else ""
 
 
+#: Types whose values are never written as an empty text.
+_NEVER_EMPTY = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _field(name: str, c: Column, kind: T.DataType, options: TypedOptions, level: int, skip_null: bool) -> Column:
     """One element (or, for an array, one for each item)."""
     if isinstance(kind, T.ArrayType):
@@ -186,6 +190,10 @@ def _field(name: str, c: Column, kind: T.DataType, options: TypedOptions, level:
 
         body = F.array_join(F.transform(F.map_entries(c), entry), _pad(options, level + 1))
         out = F.when(F.coalesce(body, F.lit("")) == "", _empty(name, head, options)).otherwise(F.concat(head, F.lit(">" + _pad(options, level + 1)), body, F.lit(_pad(options, level) + f"</{name}>")))
+    elif isinstance(kind, _NEVER_EMPTY):
+        # the text is asked for once: it is null where the value is, and never empty
+        full = F.concat(head, F.lit(">"), _simple(c, kind, options.quote), F.lit(f"</{name}>"))
+        return F.coalesce(full, F.lit("") if skip_null else _empty(name, head, options))
     else:
         if options.text == "cdata" and isinstance(kind, T.StringType):
             text = F.when(c != "", cdata(c))
@@ -197,6 +205,7 @@ def _field(name: str, c: Column, kind: T.DataType, options: TypedOptions, level:
 
 def _struct(name: str, c: Column, kind: T.StructType, options: TypedOptions, level: int) -> Column:
     attrs, pieces = [], []  # pieces: (written content, is text)
+    solid = False  # an element is always there, so the content is not empty
     for f in kind.fields:
         v = c[f.name]
         if f.name.startswith("@"):
@@ -210,17 +219,19 @@ def _struct(name: str, c: Column, kind: T.StructType, options: TypedOptions, lev
             pieces += _content(v, f.dataType, options, level)
         else:
             pieces.append((_field(_check_name(f.name), v, f.dataType, options, level + 1, False), False))
+            solid = solid or not isinstance(f.dataType, T.ArrayType)
     head = F.concat(F.lit(f"<{name}"), *attrs)
     if not pieces:
         return _empty(name, head, options)
     # an element starts a line of its own unless a text stands before it
     line, fresh, parts = _pad(options, level + 1), True, []
     for piece, is_text in pieces:
-        parts.append(piece if is_text or not fresh else F.when(piece == "", "").otherwise(F.concat(F.lit(line), piece)))
+        parts.append(piece if is_text or not fresh or not line else F.when(piece == "", "").otherwise(F.concat(F.lit(line), piece)))
         fresh = not is_text
     body = F.concat(*parts)
     close = F.lit((_pad(options, level) if fresh else "") + f"</{name}>")
-    return F.when(body == "", _empty(name, head, options)).otherwise(F.concat(head, F.lit(">"), body, close))
+    full = F.concat(head, F.lit(">"), body, close)
+    return full if solid else F.when(body == "", _empty(name, head, options)).otherwise(full)
 
 
 def _content(v: Column, kind: T.DataType, options: TypedOptions, level: int) -> list[tuple[Column, bool]]:
