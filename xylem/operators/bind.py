@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import PREDEFINED, entity_map, eol_xml11, let, read_number, resolve_reference, trim_xml, xml_bool, xs_list
 from ..options import ReaderOptions
-from .events import event_array
+from .events import is_broken, kind_of, tokens
 from .tree import enclosing, with_depth
 
 #: Options under which ``from_xml`` follows the naming rules of typed reading.
@@ -84,18 +84,25 @@ _INSIDE = ReaderOptions(check_end_names=False, allow_unmatched_ends=True)
 _ITEM = "struct<tag:string,xml:string,text:string>"
 
 
-def _top_items(xml: Column, level: int) -> Column:
+def pieces(xml: Column) -> Column:
+    """(kind, raw) of a document's events, without what reading in order has no need of.
+
+    As a column of its own it serves several of the readers below.
+    """
+    return let(tokens(xml), lambda toks: F.transform(toks, lambda t, i: F.struct(kind_of(t, (i == F.size(toks) - 1) & is_broken(t), _INSIDE).alias("kind"), t.alias("raw"))))
+
+
+def _top_items(of: Column, level: int) -> Column:
     """Elements of a level and the texts between them, in order: (tag, xml, text).
 
-    One left fold over the document's events: an element's raw text grows until it closes,
+    One left fold over a document's :func:`pieces`: an element's raw text grows until it closes,
     runs of text, CDATA and references are one text.  Blank texts and what is outside of
     the level's parents are left out.
     """
     known = entity_map(PREDEFINED)
     start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("tag"), F.array().cast("array<string>").alias("raw"), F.array().cast(f"array<{_ITEM}>").alias("out"))
 
-    def step(acc, x):
-        e = x["e"]
+    def step(acc, e):
         kind, depth = e["kind"], acc["depth"]
         closed = F.when(kind == "End", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
         after = F.when(kind == "Start", depth + 1).otherwise(closed)
@@ -103,9 +110,11 @@ def _top_items(xml: Column, level: int) -> Column:
         opens = (kind == "Start") & (depth == level)
         ends = (kind == "End") & (closed == level) & inside
         # names without their prefix, as for all typed reading
-        local = F.regexp_replace(e["name"], "^[^:]*:", "")
-        bit = F.when(kind == "GeneralRef", F.coalesce(resolve_reference(e["content"], known), e["raw"])).when(kind.isin("Text", "CData"), eol_xml11(e["content"]))
-        here = bit.isNotNull() & (depth == level)
+        tag = F.substring(e["raw"], F.lit(2), F.char_length(e["raw"]) - F.when(kind == "Empty", 3).otherwise(2))
+        local = F.regexp_replace(F.regexp_extract(tag, "^[^ \\t\\r\\n]*", 0), "^[^:]*:", "")
+        bit = F.when(kind == "Text", eol_xml11(e["raw"])).when(kind == "CData", eol_xml11(F.substring(e["raw"], F.lit(10), F.char_length(e["raw"]) - 12)))
+        bit = bit.when(kind == "GeneralRef", F.coalesce(resolve_reference(F.substring(e["raw"], F.lit(2), F.char_length(e["raw"]) - 2), known), e["raw"]))
+        here = (depth == level) & kind.isin("Text", "CData", "GeneralRef")
         raw = F.when(inside | opens, F.array_append(acc["raw"], e["raw"])).when(here, F.array_append(acc["raw"], bit)).otherwise(acc["raw"])
         text = F.array_join(acc["raw"], "")
         # a text ends where an element begins or the parent ends
@@ -116,7 +125,7 @@ def _top_items(xml: Column, level: int) -> Column:
         kept = F.when(ends | ((kind == "Empty") & (depth == level)) | (flush & ~opens), F.array().cast("array<string>")).when(opens, F.array(e["raw"])).otherwise(raw)
         return F.struct(after.cast("int").alias("depth"), F.when(opens, local).otherwise(acc["tag"]).alias("tag"), kept.alias("raw"), done.alias("out"))
 
-    return F.aggregate(event_array(xml, _INSIDE), start, step, lambda a: a["out"])
+    return F.aggregate(of, start, step, lambda a: a["out"])
 
 
 def _variants(items: Column, variants: dict[str, T.DataType | str], strict: bool) -> Column:
@@ -138,37 +147,38 @@ def _variants(items: Column, variants: dict[str, T.DataType | str], strict: bool
     return F.transform(items, one)
 
 
-def read_items(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False) -> Column:
+def read_items(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False, of: Column | None = None) -> Column:
     """Mixed or choice content of the root, by a schema and in order.
 
     An array of (tag, ``$text``, one field a variant): for an element the field of its
     name is read by the variant's type, for a text ``$text`` holds it.  Elements of other
     names have their tag alone.  ``read_items(...)[0]`` is a single choice.  For the content
     of an inner element take its inner XML first (``wildcard`` of ``read_typed``) and put a
-    root around it.
+    root around it.  ``of``: the document's ``pieces``, if they are at hand.
     """
-    return F.when(xml.isNotNull(), _variants(_top_items(xml, 1), variants, strict))
+    return F.when(xml.isNotNull(), _variants(_top_items(pieces(xml) if of is None else of, 1), variants, strict))
 
 
-def read_roots(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False) -> Column:
+def read_roots(xml: Column, variants: dict[str, T.DataType | str], strict: bool = False, of: Column | None = None) -> Column:
     """A sequence of several root elements, as ``read_items`` gives the content of one."""
-    return F.when(xml.isNotNull(), _variants(_top_items(xml, 0), variants, strict))
+    return F.when(xml.isNotNull(), _variants(_top_items(pieces(xml) if of is None else of, 0), variants, strict))
 
 
-def root_count(xml: Column) -> Column:
+def root_count(xml: Column, of: Column | None = None) -> Column:
     """Number of root elements: a document that is read to its end has one, and no text beside it.
 
     -1 where a text, CDATA or a reference stands outside of the roots.
     """
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("stray"))
 
-    def step(acc, x):
-        kind, top = x["e"]["kind"], acc["depth"] == 0
+    def step(acc, e):
+        kind, top = e["kind"], acc["depth"] == 0
         depth = F.when(kind == "Start", acc["depth"] + 1).when(kind == "End", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        stray = top & (((kind == "Text") & (trim_xml(x["e"]["content"]) != "")) | kind.isin("CData", "GeneralRef", "Error"))
+        nameless = (kind == "DocType") & (trim_xml(F.substring(e["raw"], F.lit(10), F.char_length(e["raw"]) - 10)) == "")
+        stray = top & (((kind == "Text") & (trim_xml(e["raw"]) != "")) | kind.isin("CData", "GeneralRef", "Error") | nameless)
         return F.struct(depth.alias("depth"), (acc["n"] + (top & kind.isin("Start", "Empty")).cast("int")).alias("n"), (acc["stray"] | stray).alias("stray"))
 
-    return F.aggregate(event_array(xml, _INSIDE), start, step, lambda a: F.when(a["stray"], -1).otherwise(a["n"]))
+    return F.aggregate(pieces(xml) if of is None else of, start, step, lambda a: F.when(a["stray"], -1).otherwise(a["n"]))
 
 
 def _ddl(kind: T.StructType) -> str:
