@@ -8,12 +8,12 @@ are joined by document and prefix, with a range filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import local_name, prefix
 from .attributes import XSI, attribute_array, attributes
-from .tree import enclosing
+from .tree import enclosing, with_depth
 
 # The two namespaces that are always bound.
 XML_NS, XMLNS_NS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
@@ -94,6 +94,39 @@ def resolve_events(ev: DataFrame, el: DataFrame, bound: DataFrame) -> DataFrame:
     return got.unionByName(rest)
 
 
+def resolve_in_place(ev: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``resolve_events`` from the events alone, which are read but once: no join, no union.
+
+    A tag asks at each level around it, a declaring one tells at its own; the last that told
+    of a prefix at a level binds whatever its element holds.  ``keep``: columns wanted besides
+    ``doc_id`` and ``seq``, ``name`` among them (by default all).
+    """
+    keep = [c for c in ev.columns if c not in ("doc_id", "seq")] if keep is None else keep
+    tag = F.col("kind").isin("Start", "Empty", "End")
+    # at a start's own depth its end tag follows: all between is deeper
+    end = F.when(F.col("kind") == "Empty", F.col("seq")).otherwise(F.lead("seq").over(Window.partitionBy("doc_id", "depth").orderBy("seq")))
+    declares = F.col("kind").isin("Start", "Empty") & F.col("attrs_raw").contains("xmlns")
+    rows = with_depth(ev).select("doc_id", "seq", "depth", end.alias("__to"), F.when(tag, F.coalesce(prefix(F.col("name")), F.lit(""))).alias("__p"), F.when(declares, F.col("attrs_raw")).alias("__a"), F.struct(F.lit(True).alias("there"), *keep).alias("__row"))
+    kind = "array<struct<level:int,p:string,uri:string,pos:int,asks:boolean>>"
+    none = F.lit(None).cast("string")
+    levels = F.sequence(F.lit(0), F.when(F.col("__p").isNull(), 0).otherwise(F.col("depth") + 1))
+    asks = F.transform(levels, lambda n: F.struct(n.alias("level"), F.col("__p").alias("p"), none.alias("uri"), F.lit(0).alias("pos"), F.lit(True).alias("asks"))).cast(kind)
+    told = F.transform(attribute_array(F.col("__a")), lambda a: F.struct((F.col("depth") + 1).alias("level"), binding_prefix(a["key"]).alias("p"), a["value"].alias("uri"), a["pos"].alias("pos"), F.lit(False).alias("asks"))).cast(kind)
+    told = F.filter(told, lambda t: t["p"].isNotNull() & binding_error(t["p"], t["uri"]).isNull())
+    items = F.when(F.col("__a").isNull(), asks).otherwise(F.concat(asks, told))
+    x = rows.withColumn("__x", F.explode(items)).select("doc_id", "seq", "__to", "__x.*", F.when(F.col("__x.asks") & (F.col("__x.level") == 0), F.col("__row")).alias("__row"))
+    w = Window.partitionBy("doc_id", "level", "p").orderBy("seq", "asks", "pos")
+    x = x.withColumn("__o", F.last(F.when(~F.col("asks"), F.struct("uri", F.col("__to").alias("to"))), ignorenulls=True).over(w)).filter("asks")
+    holds = F.col("__o").isNotNull() & (F.col("__o.to").isNull() | (F.col("seq") <= F.col("__o.to")))
+    out = x.groupBy("doc_id", "seq").agg(F.max_by("__o.uri", F.when(holds, F.col("level"))).alias("__uri"), F.max("p").alias("__p"), F.first("__row", ignorenulls=True).alias("__row"))
+    p = F.col("__p")
+    uri = F.when(p == "xml", XML_NS).when(p == "xmlns", XMLNS_NS).otherwise(F.col("__uri"))
+    out = out.select("doc_id", "seq", *[F.col("__row")[c].alias(c) for c in keep], p, uri.alias("__uri"))
+    status = F.when(p.isNotNull() & (F.col("__uri") != ""), "Bound").when(p.isNull() | ((p == "") & ~F.contains("name", F.lit(":"))), "Unbound").otherwise("Unknown")
+    tagged = F.when(p.isNotNull(), local_name(F.col("name")))
+    return out.withColumns({"ns_status": status, "ns_uri": F.when(status == "Bound", F.col("__uri")), "local": tagged}).drop("__p", "__uri")
+
+
 def resolve_attributes(attrs: DataFrame, bound: DataFrame) -> DataFrame:
     return resolve(attrs, bound, name="key", use_default=False)
 
